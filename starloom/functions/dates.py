@@ -27,57 +27,40 @@ MONTHS_ES = (
 FIRST_PERIOD_WORDS = ("C1", "1", "P1", "PRIMER", "PRIMERO")
 SECOND_PERIOD_WORDS = ("C2", "2", "P2", "SEGUNDO")
 
-# Dates outside the nanosecond timestamp range are treated as unreadable.
-_EARLIEST, _LATEST = "1677-09-22", "2262-04-11"
-
 _MONTH = "(1[0-2]|0[1-9]|[1-9])"
 _DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 
+# Layouts and their ISO form. No text fits two of them in a different sense: where
+# a day-first reading has a day past 28, a month-first one has no such month.
+_LAYOUTS = (
+    (rf"^{_DAY}([-/]){_MONTH}\2(\d{{4}})$", "$4-$3-$1"),
+    (rf"^(\d{{4}})([-/]?){_MONTH}\2{_DAY}$", "$1-$3-$4"),
+    (rf"^{_MONTH}-{_DAY}-(\d{{4}})$", "$3-$1-$2"),
+    (r"^(\d{4})$", "$1-01-01"),
+    (rf"^{_DAY}/{_MONTH}/(69|[7-9]\d)$", "19$3-$2-$1"),
+    (rf"^{_DAY}/{_MONTH}/([0-6]\d)$", "20$3-$2-$1"),
+)
 
-def _rewritten(text: Column, shape: str, iso: str) -> Column:
-    """ISO text where ``shape`` matches. Text that does not match stays unreadable."""
-    return F.when(text.rlike(shape), F.regexp_replace(text, shape, iso)).try_cast("date")
+# ISO dates a nanosecond timestamp can hold: 1677-09-22 to 2262-04-11.
+_YEAR = r"(?:167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+_ANY = r"\d{1,2}"
+_ISO = (
+    rf"^({_YEAR}-{_ANY}-{_ANY}|1677-(?:0?9-(?:2[2-9]|30)|1[0-2]-{_ANY})"
+    rf"|2262-(?:0?[1-3]-{_ANY}|0?4-(?:0?[1-9]|1[01])))$"
+)
 
 
 def clean_date(c: Column) -> Column:
-    """Date from the supported layouts, tried in a fixed order.
+    """Date from the supported layouts.
 
     ``Y-M-D``, ``D/M/Y``, ``YMD``, ``D-M-Y``, ``M-D-Y``, ``Y``, ``D/M/y``, ``Y/M/D``.
     A two-digit year from 69 on belongs to the 1900s. Text in any other layout,
     and days that do not exist, become null.
     """
     text = strip(c)
-    short_year = rf"^{_DAY}/{_MONTH}/(\d\d)$"
-    century = F.when(F.right(text, F.lit(2)) >= "69", F.lit("19")).otherwise(F.lit("20"))
-    short = F.when(
-        text.rlike(short_year),
-        F.concat(century, F.regexp_replace(text, short_year, "$3-$2-$1")),
-    ).try_cast("date")
-    parsed = (
-        F.when(
-            F.contains(text, F.lit("-")),
-            F.coalesce(
-                _rewritten(text, rf"^(\d{{4}})-{_MONTH}-{_DAY}$", "$1-$2-$3"),
-                _rewritten(text, rf"^{_DAY}-{_MONTH}-(\d{{4}})$", "$3-$2-$1"),
-                _rewritten(text, rf"^{_MONTH}-{_DAY}-(\d{{4}})$", "$3-$1-$2"),
-            ),
-        )
-        .when(
-            F.contains(text, F.lit("/")),
-            F.coalesce(
-                _rewritten(text, rf"^{_DAY}/{_MONTH}/(\d{{4}})$", "$3-$2-$1"),
-                short,
-                _rewritten(text, rf"^(\d{{4}})/{_MONTH}/{_DAY}$", "$1-$2-$3"),
-            ),
-        )
-        .otherwise(
-            F.coalesce(
-                _rewritten(text, rf"^(\d{{4}}){_MONTH}{_DAY}$", "$1-$2-$3"),
-                _rewritten(text, r"^(\d{4})$", "$1-01-01"),
-            )
-        )
-    )
-    return F.when(parsed.between(F.lit(_EARLIEST).cast("date"), F.lit(_LATEST).cast("date")), parsed)
+    for layout, iso in _LAYOUTS:
+        text = F.regexp_replace(text, layout, iso)
+    return F.regexp_extract(text, _ISO, 1).try_cast("date")
 
 
 def year_start(year: Column, as_of_year: int) -> Column:
@@ -101,7 +84,7 @@ def academic_period(d: Column) -> Column:
 
 
 def month_name_es(d: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in MONTHS_ES]), F.month(d))
+    return F.try_element_at(F.array(*[F.lit(name) for name in MONTHS_ES]), F.month(d))
 
 
 def evaluation_date(period: Column, year: Column) -> Column:

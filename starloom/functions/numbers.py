@@ -5,39 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from starloom.functions.text import strip
-
 # The range of a valid national id (7 or 8 digits).
 NATIONAL_ID_MIN = 1_000_000
 NATIONAL_ID_MAX = 99_999_999
 
-# Casting alone is too lenient ("5d" reads as 5.0), so the shape is checked first.
-_DIGITS = r"\d+(?:_\d+)*"
-_INTEGER = rf"^[+-]?{_DIGITS}(?:[eE][+-]?{_DIGITS})?$"
-_DECIMAL = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+# Casting alone is too lenient ("5d" reads as 5.0), so only text of the right shape
+# is passed on. Each cleaner uses its input once, so that chained expressions do
+# not multiply.
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+# Exponents stop at 299, so that no text reads as infinity.
+_EXPONENT = "(?:[eE][+-]?0*[0-2]?[0-9]{1,2})?"
+_INTEGER = rf"(?U)^\s*([+-]?{_DIGITS}{_EXPONENT})\s*$"
+_DECIMAL = rf"(?U)^\s*([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT})\s*$"
+
+# A dot ahead of a last comma, or a comma ahead of a last dot, is a grouping mark.
+_GROUPING = r"\.(?=.*,[^.,]*$)|,(?=.*\.[^.,]*$)"
 
 
 def _as_double(text: Column, shape: str) -> Column:
-    return F.when(text.rlike(shape), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.replace(F.regexp_extract(text, shape, 1), F.lit("_"), F.lit("")).try_cast("double")
 
 
 def clean_integer(c: Column) -> Column:
     """Dots, commas and blanks are grouping marks: ``34.157.347`` is 34157347."""
-    digits = F.translate(strip(c), "., ", "")
-    return _as_double(digits, _INTEGER).try_cast("bigint")
+    return _as_double(F.translate(c, "., ", ""), _INTEGER).try_cast("bigint")
 
 
 def clean_decimal(c: Column) -> Column:
     """The right-most of ``,`` and ``.`` is the decimal mark, the other one groups."""
-    text = F.translate(strip(c), " ", "")
-    comma_last = F.locate(",", F.reverse(text)) < F.locate(".", F.reverse(text))
-    has_comma, has_dot = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
-    dotted = (
-        F.when(has_comma & has_dot & ~comma_last, F.translate(text, ",", ""))
-        .when(has_comma, F.translate(F.translate(text, ".", ""), ",", "."))
-        .otherwise(text)
-    )
-    return _as_double(dotted, _DECIMAL)
+    ungrouped = F.regexp_replace(F.translate(c, " ", ""), _GROUPING, "")
+    return _as_double(F.translate(ungrouped, ",", "."), _DECIMAL)
 
 
 def identifier(c: Column) -> Column:

@@ -39,8 +39,8 @@ def clean_title(c: Column) -> Column:
 
 def clean_gender(c: Column) -> Column:
     """Code ``M`` or ``F``; anything unknown becomes null."""
-    word = F.upper(strip(c))
-    return F.when(word.isin(*MALE_WORDS), F.lit("M")).when(word.isin(*FEMALE_WORDS), F.lit("F"))
+    codes = [F.lit(x) for w in MALE_WORDS for x in (w, "M")] + [F.lit(x) for w in FEMALE_WORDS for x in (w, "F")]
+    return F.try_element_at(F.create_map(*codes), F.upper(strip(c)))
 
 
 def clean_nationality(c: Column) -> Column:

@@ -36,6 +36,9 @@ NULL_ON_READ = (
     "null",
 )
 
+# Quotes inside quoted text are doubled, and header names must match the schema.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
+
 RAW_SUFFIX = "_raw"
 ROW_ID, SOURCE_FILE, LOADED_AT = "row_id", "archivo_origen", "fecha_carga"
 
@@ -46,44 +49,57 @@ def blank_null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_ON_READ), F.col(c)) for c in texts})
 
 
+def text_schema(columns: Sequence[str]) -> StructType:
+    return StructType([StructField(c, StringType()) for c in columns])
+
+
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
     """A comma CSV with header, all columns as text, in header order given by ``columns``.
 
     ``multi_line`` allows line breaks inside quotes, at the price of unsplittable files.
     """
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    raw = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+    raw = spark.read.csv(path, schema=text_schema(columns), multiLine=multi_line, **CSV_OPTIONS)
     return blank_null_tokens(raw)
 
 
 def stage(df: DataFrame, source: str, loaded_at: Column) -> DataFrame:
-    """Mark the business columns as raw and add where and when they came from."""
-    return df.toDF(*[c + RAW_SUFFIX for c in df.columns]).withColumns(
+    """Mark the business columns as raw and add where and when they came from.
+
+    The row number, if there already, keeps its name.
+    """
+    return df.toDF(*[c if c == ROW_ID else c + RAW_SUFFIX for c in df.columns]).withColumns(
         {SOURCE_FILE: F.lit(source), LOADED_AT: loaded_at}
     )
 
 
-def number_in_file_order(df: DataFrame, start: int = 1) -> DataFrame:
-    """Dense ``row_id`` in file order for a frame read straight from files.
-
-    Rows are placed by (file, split, position in the split). The positions are
-    written down first; then one offset per split is enough, so rows are neither
-    shuffled nor sorted.
-    """
-    placed = df.select(
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Add the file and split each row comes from. ``df`` is read straight from files."""
+    return df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_position"),
     )
-    placed = materialize(placed)
+
+
+def number_positions(df: DataFrame, start: int = 1) -> DataFrame:
+    """Dense ``row_id`` in file order for rows that carry their file and split.
+
+    The positions are written down first; then one offset per split is enough,
+    so rows are neither shuffled nor sorted.
+    """
+    placed = materialize(df.withColumn("_position", F.monotonically_increasing_id()))
     splits = placed.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_first")
     )
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     row_id = F.lit(start) + F.col("_offset") + F.col("_position") - F.col("_first")
-    return placed.join(offsets, ["_file", "_block"]).select(row_id.cast("bigint").alias(ROW_ID), *df.columns)
+    columns = [c for c in df.columns if c not in {"_file", "_block"}]
+    return placed.join(offsets, ["_file", "_block"]).select(row_id.cast("bigint").alias(ROW_ID), *columns)
+
+
+def number_in_file_order(df: DataFrame, start: int = 1) -> DataFrame:
+    return number_positions(with_file_position(df), start)
 
 
 def academic_calendar(
