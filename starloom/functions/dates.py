@@ -30,37 +30,33 @@ SECOND_PERIOD_WORDS = ("C2", "2", "P2", "SEGUNDO")
 _MONTH = "(1[0-2]|0[1-9]|[1-9])"
 _DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 
-# Layouts and their ISO form. No text fits two of them in a different sense: where
-# a day-first reading has a day past 28, a month-first one has no such month.
-_LAYOUTS = (
-    (rf"^{_DAY}([-/]){_MONTH}\2(\d{{4}})$", "$4-$3-$1"),
-    (rf"^(\d{{4}})([-/]?){_MONTH}\2{_DAY}$", "$1-$3-$4"),
-    (rf"^{_MONTH}-{_DAY}-(\d{{4}})$", "$3-$1-$2"),
-    (r"^(\d{4})$", "$1-01-01"),
-    (rf"^{_DAY}/{_MONTH}/(69|[7-9]\d)$", "19$3-$2-$1"),
-    (rf"^{_DAY}/{_MONTH}/([0-6]\d)$", "20$3-$2-$1"),
-)
+# Years a nanosecond timestamp can hold as a whole: 1678 to 2261.
+_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
 
-# ISO dates a nanosecond timestamp can hold: 1677-09-22 to 2262-04-11.
-_YEAR = r"(?:167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
-_ANY = r"\d{1,2}"
-_ISO = (
-    rf"^({_YEAR}-{_ANY}-{_ANY}|1677-(?:0?9-(?:2[2-9]|30)|1[0-2]-{_ANY})"
-    rf"|2262-(?:0?[1-3]-{_ANY}|0?4-(?:0?[1-9]|1[01])))$"
-)
+# Day first, year first and month first in one pattern, and their ISO form; text in
+# no layout comes out as "--". No text fits two layouts in a different sense, for
+# where a day-first reading has a day past 12, a month-first one has no such month.
+_FULL = rf"(?s)^(?:{_DAY}([-/]){_MONTH}\2{_YEAR}|{_YEAR}([-/]?){_MONTH}\6{_DAY}|{_MONTH}-{_DAY}-{_YEAR}|.*)$"
+_FULL_ISO = "$4$5$11-$3$7$9-$1$8$10"
+_SHORT = rf"(?s)^(?:{_DAY}/{_MONTH}/(\d\d)|.*)$"
+_YEAR_ONLY = rf"(?s)^(?:{_YEAR}|.*)$"
 
 
 def clean_date(c: Column) -> Column:
-    """Date from the supported layouts.
+    """Date from the supported layouts, for the years 1678 to 2261.
 
     ``Y-M-D``, ``D/M/Y``, ``YMD``, ``D-M-Y``, ``M-D-Y``, ``Y``, ``D/M/y``, ``Y/M/D``.
     A two-digit year from 69 on belongs to the 1900s. Text in any other layout,
     and days that do not exist, become null.
     """
     text = strip(c)
-    for layout, iso in _LAYOUTS:
-        text = F.regexp_replace(text, layout, iso)
-    return F.regexp_extract(text, _ISO, 1).try_cast("date")
+    century = F.when(F.right(text, F.lit(2)) >= "69", F.lit("19")).otherwise(F.lit("20"))
+    iso = (
+        F.when(F.length(text) == 4, F.regexp_replace(text, _YEAR_ONLY, "$1-01-01"))
+        .when((F.length(text) <= 8) & (F.substring(text, -3, 1) == "/"), F.concat(century, F.regexp_replace(text, _SHORT, "$3-$2-$1")))
+        .otherwise(F.regexp_replace(text, _FULL, _FULL_ISO))
+    )
+    return iso.try_cast("date")
 
 
 def year_start(year: Column, as_of_year: int) -> Column:

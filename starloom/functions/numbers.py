@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from starloom.functions.text import strip
+
 # The range of a valid national id (7 or 8 digits).
 NATIONAL_ID_MIN = 1_000_000
 NATIONAL_ID_MAX = 99_999_999
@@ -15,15 +17,15 @@ NATIONAL_ID_MAX = 99_999_999
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
 # Exponents stop at 299, so that no text reads as infinity.
 _EXPONENT = "(?:[eE][+-]?0*[0-2]?[0-9]{1,2})?"
-_INTEGER = rf"(?U)^\s*([+-]?{_DIGITS}{_EXPONENT})\s*$"
-_DECIMAL = rf"(?U)^\s*([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT})\s*$"
+_INTEGER = rf"^([+-]?{_DIGITS}{_EXPONENT})$"
+_DECIMAL = rf"^([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT})$"
 
 # A dot ahead of a last comma, or a comma ahead of a last dot, is a grouping mark.
 _GROUPING = r"\.(?=.*,[^.,]*$)|,(?=.*\.[^.,]*$)"
 
 
 def _as_double(text: Column, shape: str) -> Column:
-    return F.replace(F.regexp_extract(text, shape, 1), F.lit("_"), F.lit("")).try_cast("double")
+    return F.replace(F.regexp_extract(strip(text), shape, 1), F.lit("_"), F.lit("")).try_cast("double")
 
 
 def clean_integer(c: Column) -> Column:

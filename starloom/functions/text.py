@@ -15,6 +15,12 @@ NULL_TOKENS = ("", " ", "null", "none", "n/a")
 # Fixed value: label for a missing nationality.
 NATIONALITY_DEFAULT = "No especificado"
 
+# What counts as white space around a value.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # A word starts at a cased letter that does not follow another cased letter, so
 # hyphens, digits and apostrophes open a new word as well as spaces do.
 _CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
@@ -24,7 +30,7 @@ _MARK = "\u0001 "
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing white space of any kind, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_title(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from starloom.operators.dedupe import drop_mapped, remap
 from starloom.operators.joins import narrow_to
 from starloom.plans import university as u
 from starloom.plans.initial_load import ATTEMPT_COLUMNS, ENROLLMENT_MAP, STUDENT_MAP
-from starloom.session import materialize
+from starloom.session import materialize, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.store import TableStore
 
@@ -42,20 +42,19 @@ def read_deltas(
     staging: TableStore, last: dt.datetime | None, bootstrap_rows: int
 ) -> dict[str, DataFrame]:
     """The new rows of every table, written down: each is small and read many times."""
-    return {
-        name: materialize(watermark.delta(staged(staging, name), last, bootstrap_rows)) for name in u.ENTITIES
-    }
+
+    def read(name: str) -> DataFrame:
+        return materialize(watermark.delta(staged(staging, name), last, bootstrap_rows))
+
+    return dict(zip(u.ENTITIES, side_by_side([partial(read, name) for name in u.ENTITIES])))
 
 
 def rebuild_maps(staging: TableStore, scope: str = "all") -> tuple[DataFrame, DataFrame]:
     """Both duplicate maps from all of staging; only the id columns are read."""
-    students = (
-        u.ENTITIES["estudiantes"].typed(staged(staging, "estudiantes"))
-        .select("id_estudiante", "dni")
-        .where(is_national_id(F.col("dni")))
-    )
-    enrollments = u.ENTITIES["inscripciones"].typed(staged(staging, "inscripciones")).select(
-        "id_inscripcion", "id_estudiante", "id_dictado"
+    students = u.ENTITIES["estudiantes"].typed(staged(staging, "estudiantes"), ["id_estudiante", "dni"])
+    students = students.where(is_national_id(F.col("dni")))
+    enrollments = u.ENTITIES["inscripciones"].typed(
+        staged(staging, "inscripciones"), ["id_inscripcion", "id_estudiante", "id_dictado"]
     )
     student_map, enrollment_map = identity_maps(students, enrollments, u.CASCADE, scope)
     staging.replace(STUDENT_MAP, student_map)
@@ -141,7 +140,8 @@ def apply_deltas(
     enrollments = materialize(drop_mapped(canonical, enrollment_map, "id_inscripcion"))
     exams = materialize(u.with_passed(remap(clean["examenes"], enrollment_map, "id_inscripcion")))
     offerings, evaluations = materialize(clean["dictados"]), materialize(clean["evaluaciones"])
-    lookups = {name: materialize(u.ENTITIES[name].clean(staged(staging, name))) for name in LOOKUPS}
+    lookups = {name: u.ENTITIES[name].clean(staged(staging, name)) for name in LOOKUPS}
+    lookups = dict(zip(lookups, side_by_side([partial(materialize, df) for df in lookups.values()])))
 
     calendar = dimensions.calendar_dimension(u.dates_of(enrollments, exams, evaluations))
     new_dates = materialize(merge.new_rows(warehouse.read("dim_tiempo"), calendar, ["tiempoSKey"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from starloom.operators.cascade import Cascade, resolve_identities
 from starloom.operators.dedupe import count_remapped
 from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.plans import university as u
-from starloom.session import configure, materialize
+from starloom.session import configure, materialize, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
     ROW_ID,
@@ -85,13 +85,16 @@ def load_staging(
     missing = check_sources(staging.spark, folder).where(~F.col("existe")).select("archivo").collect()
     if missing:
         raise MissingSources(", ".join(sorted(row.archivo for row in missing)))
-    for source in u.SOURCE_COLUMNS:
+
+    def load(source: str) -> None:
         rows = read_source(staging.spark, folder, source)
         if source == "evaluacion_curso":
             offerings = read_source(staging.spark, folder, "dictado")
             calendar = academic_calendar(offerings, "id_dictado", "periodo", "anio_academico", [ROW_ID])
             rows = add_evaluation_date(rows, calendar, "id_dictado", as_of.isoformat())
         staging.replace(u.staging_name(source), stage(rows, f"{source}.csv", F.lit(loaded_at)))
+
+    side_by_side([partial(load, source) for source in u.SOURCE_COLUMNS])
     staging.publish()
     return table_sizes(staging, [u.staging_name(source) for source in u.SOURCE_COLUMNS])
 
@@ -105,10 +108,12 @@ def table_sizes(store: TableStore, tables: list[str]) -> DataFrame:
 
 def clean_all(staging: TableStore) -> dict[str, DataFrame]:
     """Every entity, cleaned once and written down as typed columns."""
-    return {
-        name: materialize(entity.clean(staging.read(u.staging_name(entity.source))))
-        for name, entity in u.ENTITIES.items()
-    }
+
+    def clean(entity: u.Entity) -> DataFrame:
+        return materialize(entity.clean(staging.read(u.staging_name(entity.source))))
+
+    frames = side_by_side([partial(clean, entity) for entity in u.ENTITIES.values()])
+    return dict(zip(u.ENTITIES, frames))
 
 
 def cleaning_report(staging: TableStore) -> DataFrame:
@@ -173,13 +178,18 @@ def load_warehouse(
         )
     )
 
-    warehouse.replace(
-        "dim_tiempo", dimensions.calendar_dimension(u.dates_of(enrollments, exams, clean["evaluaciones"]))
-    )
+    calendar = dimensions.calendar_dimension(u.dates_of(enrollments, exams, clean["evaluaciones"]))
     students = u.student_dimension(merged.people, clean["programas"], as_of)
-    warehouse.replace("dim_estudiante", keys.assign_surrogate_keys(students, "alumnoSKey", ["dni", "idalumno"]))
     offerings = u.offering_dimension(clean["dictados"], clean, as_of)
-    warehouse.replace("dim_dictado", keys.assign_surrogate_keys(offerings, "dictadoSKey", [ROW_ID]))
+    side_by_side(
+        [
+            lambda: warehouse.replace("dim_tiempo", calendar),
+            lambda: warehouse.replace(
+                "dim_estudiante", keys.assign_surrogate_keys(students, "alumnoSKey", ["dni", "idalumno"])
+            ),
+            lambda: warehouse.replace("dim_dictado", keys.assign_surrogate_keys(offerings, "dictadoSKey", [ROW_ID])),
+        ]
+    )
 
     student_keys = u.student_keys(warehouse.read("dim_estudiante"))
     offering_keys = u.offering_keys(warehouse.read("dim_dictado"))
@@ -189,8 +199,11 @@ def load_warehouse(
         "fact_examen_estudiante": u.exam_fact(owned_exams),
         "fact_evaluacion_dictado": u.evaluation_fact(clean["evaluaciones"], offering_keys),
     }
-    for table, fact in built.items():
-        warehouse.replace(table, keys.assign_keys_in_place(fact, u.FACT_SURROGATES[table]))
+
+    def store(table: str) -> None:
+        warehouse.replace(table, keys.assign_keys_in_place(built[table], u.FACT_SURROGATES[table]))
+
+    side_by_side([partial(store, table) for table in built])
 
     run = audit.start(began, None)
     version = warehouse.publish()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -136,16 +136,23 @@ class Entity:
     required: tuple[str, ...]
     valid: Callable[[], Column] = field(default=lambda: F.lit(True))
 
-    def typed(self, raw: DataFrame) -> DataFrame:
-        """Every raw row with typed columns and its order number; nothing is dropped."""
-        present = {name: raw_name + "_raw" for name, (raw_name, _) in self.columns.items()}
-        return raw.select(
-            "row_id",
-            *[
-                clean(F.col(present[name]) if present[name] in raw.columns else F.lit(None).cast("string")).alias(name)
-                for name, (_, clean) in self.columns.items()
-            ],
-        )
+    def typed(self, raw: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+        """Every raw row with typed columns and its order number; nothing is dropped.
+
+        The row is built as one struct and unpacked again. Filters on cleaned
+        columns then stay above the cleaning, where Catalyst would otherwise push
+        them below it and clean those columns once more per filter.
+        """
+        cleaned = [
+            clean(F.col(raw_name + "_raw") if raw_name + "_raw" in raw.columns else F.lit(None).cast("string")).alias(name)
+            for name, (raw_name, clean) in self.columns.items()
+            if only is None or name in only
+        ]
+        return raw.select(F.inline(F.array(F.struct(F.col("row_id"), *cleaned))))
+
+    def judged(self) -> list[str]:
+        """The columns that decide whether a row is valid."""
+        return [self.key, *self.required]
 
     def verdict(self) -> Column:
         return quality.all_present(self.required) & self.valid()
@@ -162,7 +169,7 @@ class Entity:
         return quality.split_valid(self.typed(raw), self.verdict())[1]
 
     def accounting(self, raw: DataFrame) -> DataFrame:
-        return quality.row_accounting(self.typed(raw), staging_name(self.source), self.verdict(), [self.key])
+        return quality.row_accounting(self.typed(raw, self.judged()), staging_name(self.source), self.verdict(), [self.key])
 
 
 def _positive(c: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(steps: Sequence[Callable[[], object]], at_once: int = 8) -> list:
+    """Run independent Spark actions from several threads; results in order.
+
+    Small jobs then fill the cluster together instead of waiting for each other.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        return [task.result() for task in [pool.submit(step) for step in steps]]

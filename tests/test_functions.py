@@ -109,8 +109,9 @@ def test_date(spark):
         "2020-1-5": D(2020, 1, 5), "5/7/2020": D(2020, 7, 5), "20200715": D(2020, 7, 15), "05-07-2020": D(2020, 7, 5),
         "02-13-2020": D(2020, 2, 13), "2020": D(2020, 1, 1), "15/07/70": D(1970, 7, 15), "15/07/69": D(1969, 7, 15),
         "15/07/68": D(2068, 7, 15), "2020/3/4": D(2020, 3, 4), "31/02/2020": None, "s/d": None, "Sin Dato": None,
-        "202011": D(2020, 1, 1), "2020111": D(2020, 11, 1), "20201": None, "2020-02-30": None, "2262-04-11": D(2262, 4, 11),
-        "2262-04-12": None, "1677-09-21": None, "1677-09-22": D(1677, 9, 22), "1600-01-01": None, "9999": None,
+        "202011": D(2020, 1, 1), "2020111": D(2020, 11, 1), "20201": None, "2020-02-30": None, "2261-12-31": D(2261, 12, 31),
+        "2263-01-01": None, "1677-01-01": None, "1678-01-02": D(1678, 1, 2), "1600-01-01": None, "9999": None, "/20": None,
+        "2020-05": None, "2020-01-05 10:00:00": None, "99/99/20": None,
         " 29/02/2024\n": D(2024, 2, 29), "29/02/2023": None, "1/1/20": D(2020, 1, 1), "00/01/2020": None, "": None,
         "2020-13-05x": None, "13-13-2020": None,
     }
@@ -123,9 +124,10 @@ LAYOUTS = ("%Y-%m-%d", "%d/%m/%Y", "%Y%m%d", "%d-%m-%Y", "%m-%d-%Y", "%Y", "%d/%
 def pandas_date(text: str):
     for layout in LAYOUTS:
         try:
-            return pd.to_datetime(text.strip(), format=layout).date()
+            day = pd.to_datetime(text.strip(), format=layout).date()
         except ValueError:
             continue
+        return day if 1678 <= day.year <= 2261 else None
     return None
 
 
