@@ -21,10 +21,9 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A word starts at a cased letter that does not follow another cased letter, so
-# hyphens, digits and apostrophes open a new word as well as spaces do.
-_CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
-_WORD_START = f"(?<!{_CASED})(?={_CASED})"
+# A word is a run of cased letters, so hyphens, digits and apostrophes open a new
+# word as well as spaces do.
+_WORD = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]+"
 _MARK = "\u0001 "
 
 
@@ -39,7 +38,7 @@ def clean_title(c: Column) -> Column:
     ``initcap`` alone only opens words after a blank. Each word start gets a
     marker ending in a blank first, and the markers are taken out afterwards.
     """
-    marked = F.regexp_replace(strip(c), _WORD_START, _MARK)
+    marked = F.regexp_replace(strip(c), _WORD, _MARK + "$0")
     return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.dedupe import KEPT_ID, REPEATED_ID, keep_one
-from starloom.operators.joins import narrow_to, skew_safe_join, split_matching
+from starloom.operators.joins import keep_matching, skew_safe_join
 
 
 def apply_attempt_rule(
@@ -47,13 +47,16 @@ def _owned_and_rest(
     enrollment_id: str,
     group: Sequence[str],
 ) -> tuple[DataFrame, DataFrame]:
-    """Exams of touched enrollments with their group columns, and all other exams."""
-    owners = enrollments.select(enrollment_id, *group).distinct()
-    touched, untouched = split_matching(exams, touched_ids(enrollment_map, enrollment_id), [enrollment_id])
-    owned = skew_safe_join(touched, owners, [enrollment_id], "left")
+    """Exams of touched enrollments with their group columns, and all other exams.
+
+    Only the owners of touched enrollments are joined to the exams, so one join
+    finds the group and tells the two kinds apart.
+    """
+    touched = touched_ids(enrollment_map, enrollment_id)
+    owners = keep_matching(enrollments.select(enrollment_id, *group), touched, [enrollment_id])
+    tagged = skew_safe_join(exams, owners.dropna(subset=list(group)).distinct(), [enrollment_id], "left")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
-    rest = untouched.unionByName(owned.where(~known).select(*exams.columns))
-    return owned.where(known), rest
+    return tagged.where(known), tagged.where(~known).select(*exams.columns)
 
 
 def consolidate_attempts(
@@ -129,7 +132,7 @@ def filter_by_history(
     after that many attempts.
     """
     resolved = exams.dropna(subset=list(keys))
-    history = attempt_history(narrow_to(fact, resolved, keys), keys, passed)
+    history = attempt_history(keep_matching(fact, resolved, keys), keys, passed)
     open_exams = (
         skew_safe_join(resolved, history, keys, "left")
         .where(~F.coalesce(F.col("already_passed"), F.lit(False)))

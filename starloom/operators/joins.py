@@ -69,22 +69,24 @@ def skew_safe_join(
     return salted_left.drop("_hot").join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
-def narrow_to(large: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``large`` whose key occurs in ``small``.
-
-    With a small delta this is one scan of ``large`` and no shuffle of it, so
-    later joins against the delta only move rows that can match.
-    """
-    return large.join(small.select(*keys).distinct(), list(keys), "left_semi")
+def _key_side(keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Key values to match against, reduced to distinct ones unless they are broadcast anyway."""
+    values = keys.select(*on)
+    return values if fits_broadcast(values) else values.distinct()
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return skew_safe_join(df, keys.select(*on).distinct(), on, "left_semi")
+    """Rows with a match.
+
+    With few keys, as of a delta, this is one scan of ``df`` without a shuffle of
+    it, so later joins against the delta only move rows that can match.
+    """
+    return skew_safe_join(df, _key_side(keys, on), on, "left_semi")
 
 
 def drop_matching(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows without a match; rows with a null key have none and stay."""
-    return skew_safe_join(df, keys.select(*on).distinct(), on, "left_anti")
+    return skew_safe_join(df, _key_side(keys, on), on, "left_anti")
 
 
 def split_matching(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:

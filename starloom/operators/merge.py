@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.dedupe import keep_one
-from starloom.operators.joins import drop_matching, narrow_to, skew_safe_join
+from starloom.operators.joins import drop_matching, keep_matching, skew_safe_join
 
 
 def new_rows(
@@ -21,7 +21,7 @@ def new_rows(
     """
     if not keys:
         return incoming
-    fresh = drop_matching(incoming, narrow_to(existing.select(*keys), incoming, keys), keys)
+    fresh = drop_matching(incoming, keep_matching(existing.select(*keys), incoming, keys), keys)
     return keep_one(fresh, keys, order_by).select(*incoming.columns) if order_by else fresh.select(*incoming.columns)
 
 
@@ -68,7 +68,7 @@ def upsert(
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: incoming keys that are new and incoming keys that are already known."""
-    known = narrow_to(existing.select(*keys), incoming, keys).distinct().withColumn("_known", F.lit(True))
+    known = keep_matching(existing.select(*keys), incoming, keys).distinct().withColumn("_known", F.lit(True))
     marked = skew_safe_join(incoming.select(*keys).distinct(), known, keys, "left")
     return marked.agg(
         F.count_if(F.col("_known").isNull()).alias("inserted"),

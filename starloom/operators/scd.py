@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import columns_changed
-from starloom.operators.joins import narrow_to, skew_safe_join
+from starloom.operators.joins import keep_matching, skew_safe_join
 from starloom.operators.keys import assign_surrogate_keys, next_key
+from starloom.session import materialize
 
 INSERT, NEW_VERSION, UPDATE, SAME = "insert", "new_version", "update", "same"
 _OLD = "_old_"
@@ -34,7 +35,7 @@ def classify(dimension: DataFrame, delta: DataFrame, policy: ScdPolicy) -> DataF
     delta are compared.
     """
     compared = [*policy.type2, *policy.type1]
-    current = narrow_to(
+    current = keep_matching(
         dimension.where(F.col("es_actual")).select(policy.natural, policy.surrogate, *compared),
         delta,
         [policy.natural],
@@ -91,8 +92,8 @@ def apply_scd(
     as_of: dt.date,
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The dimension after the delta."""
-    classified = classify(dimension, delta, policy)
+    """The dimension after the delta, whose classified rows are written down once."""
+    classified = materialize(classify(dimension, delta, policy))
     return revise_versions(dimension, classified, policy, as_of).unionByName(
         added_versions(dimension, classified, policy, order_by or [policy.natural])
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame
@@ -13,10 +13,10 @@ from starloom.functions import is_national_id
 from starloom.operators import attempts, dimensions, facts, keys, merge, scd, watermark
 from starloom.operators.cascade import identity_maps
 from starloom.operators.dedupe import drop_mapped, remap
-from starloom.operators.joins import narrow_to
+from starloom.operators.joins import keep_matching
 from starloom.plans import university as u
 from starloom.plans.initial_load import ATTEMPT_COLUMNS, ENROLLMENT_MAP, STUDENT_MAP
-from starloom.session import materialize, side_by_side
+from starloom.session import materialize, scratch, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.store import TableStore
 
@@ -91,7 +91,7 @@ def merge_fact(
     start = keys.next_key(stored, surrogate)
     updated = 0
     if unique:
-        hits = materialize(narrow_to(stored.select(*unique, "tiempoSKey"), rows, unique))
+        hits = materialize(keep_matching(stored.select(*unique, "tiempoSKey"), rows, unique))
         updated = hits.count()
         fresh = merge.new_rows(hits, rows, unique)
         if updated:
@@ -111,7 +111,7 @@ def merge_fact(
 def narrowed(lookup: facts.KeyLookup, rows: DataFrame) -> facts.KeyLookup:
     """A key lookup cut down to the natural keys that ``rows`` asks for."""
     asked = rows.select(F.col(lookup.fact_column).alias(lookup.natural))
-    small = materialize(narrow_to(lookup.key_map, asked, [lookup.natural]))
+    small = materialize(keep_matching(lookup.key_map, asked, [lookup.natural]))
     return facts.KeyLookup(lookup.fact_column, small, lookup.natural, lookup.surrogate)
 
 
@@ -120,7 +120,7 @@ def enrollments_of(
 ) -> DataFrame:
     """Clean enrollments of the given exams from all of staging, with canonical students."""
     entity = u.ENTITIES["inscripciones"]
-    rows = narrow_to(entity.typed(staged(staging, "inscripciones")), exams, ["id_inscripcion"])
+    rows = keep_matching(entity.typed(staged(staging, "inscripciones")), exams, ["id_inscripcion"])
     return materialize(remap(entity.pick(rows), student_map, "id_estudiante"))
 
 
@@ -214,14 +214,15 @@ def run_incremental(
     last = audit.last_watermark()
     run = audit.start(began, last)
     try:
-        deltas = read_deltas(staging, last, bootstrap_rows)
-        sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df in deltas.values()]
-        total = int(reduce(DataFrame.union, sizes).agg(F.sum("n")).first()[0])
-        report = IncrementalReport(0)
-        if total:
-            applied = apply_deltas(staging, warehouse, deltas, as_of, max_attempts)
-            report = IncrementalReport(total, applied.new_dates, applied.students, applied.offerings, applied.facts)
-            warehouse.publish()
+        with scratch(staging.spark):
+            deltas = read_deltas(staging, last, bootstrap_rows)
+            sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df in deltas.values()]
+            total = int(reduce(DataFrame.union, sizes).agg(F.sum("n")).first()[0])
+            report = IncrementalReport(0)
+            if total:
+                applied = apply_deltas(staging, warehouse, deltas, as_of, max_attempts)
+                report = replace(applied, delta_rows=total)
+                warehouse.publish()
     except Exception as error:
         warehouse.discard()
         audit.close(run, began, last, max(began, dt.datetime.now()), watermark.ERROR, 0, str(error))

@@ -14,7 +14,7 @@ from starloom.operators.cascade import Cascade, resolve_identities
 from starloom.operators.dedupe import count_remapped
 from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.plans import university as u
-from starloom.session import configure, materialize, side_by_side
+from starloom.session import configure, materialize, scratch, settled, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
     ROW_ID,
@@ -94,7 +94,8 @@ def load_staging(
             rows = add_evaluation_date(rows, calendar, "id_dictado", as_of.isoformat())
         staging.replace(u.staging_name(source), stage(rows, f"{source}.csv", F.lit(loaded_at)))
 
-    side_by_side([partial(load, source) for source in u.SOURCE_COLUMNS])
+    with scratch(staging.spark):
+        side_by_side([partial(load, source) for source in u.SOURCE_COLUMNS])
     staging.publish()
     return table_sizes(staging, [u.staging_name(source) for source in u.SOURCE_COLUMNS])
 
@@ -164,6 +165,13 @@ def load_warehouse(
     ``began`` becomes the watermark, so rows staged while the load runs are left
     to the first incremental run.
     """
+    with scratch(staging.spark):
+        return _load_warehouse(staging, warehouse, audit, as_of, began)
+
+
+def _load_warehouse(
+    staging: TableStore, warehouse: TableStore, audit: AuditLog, as_of: dt.date, began: dt.datetime
+) -> LoadReport:
     clean = clean_all(staging)
     merged = resolve_identities(clean["estudiantes"], clean["inscripciones"], clean["examenes"], u.CASCADE)
     staging.replace(STUDENT_MAP, merged.person_map)
@@ -209,13 +217,13 @@ def load_warehouse(
     version = warehouse.publish()
     audit.close(run, began, None, max(began, dt.datetime.now()), watermark.OK, 0)
 
-    return LoadReport(
-        version=version,
-        cleaning=cleaning_report(staging),
-        duplicates=duplicate_report(clean, merged, raw_exams),
-        references=reference_report(clean),
-        tables=table_report(warehouse, clean, merged, enrollments, owned_exams, student_keys, offering_keys),
-    )
+    reports = [
+        cleaning_report(staging),
+        duplicate_report(clean, merged, raw_exams),
+        reference_report(clean),
+        table_report(warehouse, clean, merged, enrollments, owned_exams, student_keys, offering_keys),
+    ]
+    return LoadReport(version, *side_by_side([partial(settled, report) for report in reports]))
 
 
 def table_report(

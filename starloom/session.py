@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_scratch_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    base = _scratch_folder.get() or spark.sparkContext.getCheckpointDir()
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete everything that is materialized inside the block when it ends."""
+    folder = _new_folder(spark)
+    token = _scratch_folder.set(folder)
+    try:
+        yield
+    finally:
+        _scratch_folder.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back.
 
@@ -57,11 +81,14 @@ def materialize(df: DataFrame) -> DataFrame:
     does not lose it, values that depend on row positions are fixed, and Spark
     knows the real size of what it reads when it picks a join.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = _new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small report as a frame that no longer depends on any file."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def side_by_side(steps: Sequence[Callable[[], object]], at_once: int = 8) -> list:
@@ -70,4 +97,4 @@ def side_by_side(steps: Sequence[Callable[[], object]], at_once: int = 8) -> lis
     Small jobs then fill the cluster together instead of waiting for each other.
     """
     with ThreadPoolExecutor(at_once) as pool:
-        return [task.result() for task in [pool.submit(step) for step in steps]]
+        return [task.result() for task in [pool.submit(copy_context().run, step) for step in steps]]

@@ -87,10 +87,11 @@ class TableStore:
         if table not in self.parts:
             rows.write.mode("overwrite").parquet(folder)
             return [folder]
-        # One task per part would make a hot part a single huge write, so rows stay
-        # where they are and each task writes the parts it holds.
         placed = rows.withColumn(_PART, F.expr(self.parts[table]).cast("int"))
-        placed.write.mode("overwrite").partitionBy(_PART).parquet(folder)
+        # Rebalancing brings the rows of a part together for few files, and splits a
+        # part that is too big for one task.
+        balanced = placed.hint("rebalance", F.col(_PART))
+        balanced.write.mode("overwrite").partitionBy(_PART).parquet(folder)
         written = self.spark.read.schema(f"{_PART} int").parquet(folder).distinct().collect()
         return [f"{folder}/{_PART}={row[0]}" for row in written]
 

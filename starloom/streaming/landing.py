@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from starloom.operators.keys import next_key
 from starloom.plans import university as u
 from starloom.plans.incremental import IncrementalReport, run_incremental
+from starloom.session import scratch
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
     CSV_OPTIONS,
@@ -31,10 +32,15 @@ def _stage_batch(
     staging: TableStore, source: str, rows: DataFrame, label: str, now: Callable[[], dt.datetime]
 ) -> None:
     """Append one micro-batch to its staging table, once even if it is replayed."""
-    table = u.staging_name(source)
     if rows.isEmpty() or staging.was_published(label):
         return
-    loaded_at = now()
+    with scratch(staging.spark):
+        _append_rows(staging, source, rows, now())
+    staging.publish(label)
+
+
+def _append_rows(staging: TableStore, source: str, rows: DataFrame, loaded_at: dt.datetime) -> None:
+    table = u.staging_name(source)
     numbered = number_positions(blank_null_tokens(rows), next_key(staging.read(table), ROW_ID))
     if source == "evaluacion_curso":
         calendar = academic_calendar(
@@ -42,7 +48,6 @@ def _stage_batch(
         ).withColumnRenamed("id_dictado_raw", "id_dictado")
         numbered = add_evaluation_date(numbered, calendar, "id_dictado", loaded_at.date().isoformat())
     staging.append(table, stage(numbered, f"{source}.csv", F.lit(loaded_at)))
-    staging.publish(label)
 
 
 def ingest(
