@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.joins import HEAVY_KEY_ROWS, skew_safe_join
 from starloom.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this bit.
@@ -61,3 +62,36 @@ def next_key(df: DataFrame, key: str) -> int:
 def current_key_map(dimension: DataFrame, natural: str, surrogate: str, current: str = "es_actual") -> DataFrame:
     """Natural to surrogate key of the current versions."""
     return dimension.where(F.col(current)).select(natural, surrogate)
+
+
+def position_in_group(
+    df: DataFrame, group: Sequence[str], order_by: Sequence[str], position: str, size: str
+) -> DataFrame:
+    """Add the 0-based position inside a group and the size of the group.
+
+    Rows are numbered over the whole table and the first number of their group is
+    taken off, so a group with a large share of the rows is not one task's work.
+    ``group`` and ``order_by`` together must be unique.
+    """
+    numbered = assign_surrogate_keys(df, "_number", [*group, *order_by])
+    groups = numbered.groupBy(*group).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias(size))
+    heavy = groups.where(F.col(size) > HEAVY_KEY_ROWS)
+    return (
+        skew_safe_join(numbered, groups, group, "left", heavy=heavy)
+        .withColumn(position, F.col("_number") - F.col("_first"))
+        .select(*df.columns, position, size)
+    )
+
+
+def assign_in_turn(
+    items: DataFrame, holders: DataFrame, group: Sequence[str], item_id: str, holder_id: str
+) -> DataFrame:
+    """Give the items of each group to its holders in turn, both in id order.
+
+    Items of a group without holders get null. The holder's columns are added.
+    """
+    placed = position_in_group(holders, group, [holder_id], "_turn", "_holders")
+    sizes = placed.groupBy(*group).agg(F.max("_holders").alias("_holders"))
+    counted = skew_safe_join(position_in_group(items, group, [item_id], "_place", "_items"), sizes, group, "left")
+    turned = counted.withColumn("_turn", F.pmod("_place", "_holders")).drop("_place", "_items", "_holders")
+    return skew_safe_join(turned, placed.drop("_holders"), [*group, "_turn"], "left").drop("_turn")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom import functions as fn
+from starloom.functions import documented
 from starloom.operators import quality
 from starloom.operators.dedupe import keep_one
 from starloom.operators.joins import skew_safe_join
@@ -401,3 +402,46 @@ def null_tokens_on_read(t: Tables) -> DataFrame:
 def stage_rows(t: Tables) -> DataFrame:
     text = t.supplier.select(*[F.col(c).cast("string").alias(c) for c in ("s_suppkey", "s_name", "s_nationkey")])
     return stage(text, "supplier.csv", F.lit("2025-01-01 00:00:00").cast("timestamp"))
+
+
+@query(
+    "documented_text",
+    """
+    SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN NULL ELSE p_name || ' ñandú ' || p_type END AS cleaned
+    FROM part
+    """,
+)
+def documented_text(t: Tables) -> DataFrame:
+    whole = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  \t")), F.lit("   ñandú "), "p_type", F.lit("\n"))
+    misread = F.decode(F.encode(whole, "UTF-8"), "ISO-8859-1")
+    raw = _pick(F.col("p_size"), F.lit("S/D "), F.lit(" NA"), whole, misread)
+    return t.part.select("p_partkey", documented.clean_text(raw).alias("cleaned"))
+
+
+@query(
+    "documented_codes",
+    """
+    SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'M' WHEN '2-HIGH' THEN 'F' WHEN '3-MEDIUM' THEN 'X' END AS gender,
+           CASE o_orderstatus WHEN 'F' THEN 'Activa' WHEN 'O' THEN 'Abandonada' ELSE 'otro' END AS state,
+           CASE WHEN o_orderstatus = 'F' THEN TRUE WHEN o_orderstatus = 'O' THEN FALSE
+                ELSE o_totalprice / 50000 >= 4 END AS passed,
+           CAST(trunc(o_totalprice) AS BIGINT) AS whole
+    FROM orders
+    """,
+)
+def documented_codes(t: Tables) -> DataFrame:
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    gender = (
+        F.when(priority == "1-URGENT", F.lit("hombre")).when(priority == "2-HIGH", F.lit("2"))
+        .when(priority == "3-MEDIUM", F.lit(" no binario")).otherwise(F.lit("?"))
+    )
+    state = F.when(status == "F", F.lit("Cursando ")).when(status == "O", F.lit("BAJA")).otherwise(F.lit("otro"))
+    result = F.when(status == "F", F.lit("Sí")).when(status == "O", F.lit("ausente")).otherwise(F.lit(" "))
+    price = F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ",")
+    return t.orders.select(
+        "o_orderkey",
+        documented.clean_gender_with_other(gender).alias("gender"),
+        documented.canonical_state(state).alias("state"),
+        documented.passed_or_inferred(result, F.col("o_totalprice") / 50000).alias("passed"),
+        documented.truncated_integer(price).alias("whole"),
+    )

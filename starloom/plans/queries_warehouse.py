@@ -119,6 +119,28 @@ def surrogate_keys_lines(t: Tables) -> DataFrame:
     return keys.assign_surrogate_keys(rows, "sk", columns)
 
 
+@query(
+    "assign_in_turn",
+    """
+    WITH holders AS (
+      SELECT c_nationkey AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS turn,
+             count(*) OVER (PARTITION BY c_nationkey) AS n
+      FROM customer WHERE c_nationkey < 20),
+    items AS (
+      SELECT event_id, CAST(user_id % 25 AS INTEGER) AS g,
+             row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) - 1 AS place
+      FROM events)
+    SELECT event_id, items.g AS c_nationkey, c_custkey
+    FROM items LEFT JOIN (SELECT DISTINCT g, n FROM holders) s ON s.g = items.g
+    LEFT JOIN holders h ON h.g = items.g AND h.turn = place % s.n
+    """,
+)
+def assign_in_turn(t: Tables) -> DataFrame:
+    items = t.events.select("event_id", F.pmod("user_id", F.lit(25)).cast("int").alias("c_nationkey"))
+    holders = t.customer.where(F.col("c_nationkey") < 20).select("c_nationkey", "c_custkey")
+    return keys.assign_in_turn(items, holders, ["c_nationkey"], "event_id", "c_custkey")
+
+
 @query("table_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS tabla, count(*) AS filas FROM {n}" for n in ("customer", "orders", "lineitem", "events")
 ))

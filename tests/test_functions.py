@@ -213,3 +213,22 @@ def test_value_changed(spark):
         fn.value_changed(F.col("a"), F.col("b")), fn.value_changed(F.col("d"), F.col("d")), fn.value_changed(F.col("t"), ~F.col("t"))
     ).first()
     assert tuple(row) == (False, False, True)
+
+
+def test_documented_rules(spark):
+    from starloom.functions import documented as doc
+
+    cases = {
+        " a   b\t c ": "a b c", "S/D": None, " na": None, "": None, "JosÃ©  PÃ©rez": "José Pérez", "São": "São",
+        "AÃ±o Ã": "AÃ±o Ã", "Â°C": "°C", "ñandú": "ñandú",
+    }
+    check(spark, cases, doc.clean_text)
+    assert evaluate(spark, ["nb", "Otro", "m", "q", None], doc.clean_gender_with_other) == ["X", "X", "M", None, None]
+    assert evaluate(spark, ["Regular", "finalizada", "Rara", None], doc.canonical_state) == ["Activa", "Aprobada", "Rara", None]
+    assert evaluate(spark, ["7,9", "-7.9", "x"], doc.truncated_integer) == [7, -7, None]
+    assert evaluate(spark, [0.0, 10.0, 10.5, None], doc.valid_score, "double") == [True, True, False, False]
+    df = spark.createDataFrame(
+        [(1, "SÍ", 1.0), (2, "ausente", 9.0), (3, None, 4.0), (4, " ", 3.9), (5, None, None), (6, "raro", 9.0)], "i int, r string, n double"
+    )
+    rows = df.select("i", doc.passed_or_inferred(F.col("r"), F.col("n")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in rows] == [True, False, True, False, False, None]

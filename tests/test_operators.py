@@ -244,3 +244,18 @@ def test_scratch_is_deleted(spark):
         path = kept.inputFiles()[0].removeprefix("file://")
     with pytest.raises(FileNotFoundError):
         open(path)
+
+
+def test_assign_in_turn(spark, no_broadcast):
+    """A group with most of the items, one without holders, and ids out of order."""
+    holders = [(1, 30), (1, 10), (1, 20), (2, 5)]
+    items = [(1, 100 - i) for i in range(60)] + [(2, 200), (2, 201), (3, 300)]
+    expected = Counter()
+    for g in {g for g, _ in items}:
+        ids = sorted(h for k, h in holders if k == g)
+        for place, item in enumerate(sorted(i for k, i in items if k == g)):
+            expected[(g, item, ids[place % len(ids)] if ids else None)] += 1
+    out = keys.assign_in_turn(
+        spark.createDataFrame(items, "g int, item int"), spark.createDataFrame(holders, "g int, holder int"), ["g"], "item", "holder"
+    )
+    assert rows(out, "g", "item", "holder") == expected
