@@ -17,6 +17,8 @@ from starloom.session import materialize
 INSERT, NEW_VERSION, UPDATE, SAME = "insert", "new_version", "update", "same"
 _OLD = "_old_"
 
+NO_CHANGES = {"insertados": 0, "actualizados_scd2": 0, "actualizados_scd1": 0, "sin_cambios": 0}
+
 
 @dataclass(frozen=True)
 class ScdPolicy:

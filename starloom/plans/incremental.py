@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame
@@ -20,7 +20,8 @@ from starloom.session import materialize, scratch, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.store import TableStore
 
-LOOKUPS = ("facultades", "departamentos", "programas", "cursos", "docentes")
+OFFERING_LOOKUPS = ("cursos", "docentes", "departamentos", "facultades")
+LOOKUPS = ("programas", *OFFERING_LOOKUPS)
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,14 @@ def read_deltas(
     return dict(zip(u.ENTITIES, side_by_side([partial(read, name) for name in u.ENTITIES])))
 
 
+def delta_sizes(deltas: dict[str, DataFrame]) -> dict[str, int]:
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("entity"), "rows")
+        for name, df in deltas.items()
+    ]
+    return {row.entity: row.rows for row in reduce(DataFrame.union, counts).collect()}
+
+
 def rebuild_maps(staging: TableStore, scope: str = "all") -> tuple[DataFrame, DataFrame]:
     """Both duplicate maps from all of staging; only the id columns are read."""
     students = u.ENTITIES["estudiantes"].typed(staged(staging, "estudiantes"), ["id_estudiante", "dni"])
@@ -128,10 +137,11 @@ def apply_deltas(
     staging: TableStore,
     warehouse: TableStore,
     deltas: dict[str, DataFrame],
+    sizes: dict[str, int],
     as_of: dt.date,
     max_attempts: int | None,
 ) -> IncrementalReport:
-    """Clean the deltas and write the next state of every warehouse table."""
+    """Clean the deltas and write the next state of the warehouse tables they touch."""
     clean = {name: u.ENTITIES[name].clean(deltas[name]) for name in u.ENTITIES if name not in LOOKUPS}
     student_map, enrollment_map = rebuild_maps(staging)
 
@@ -140,8 +150,6 @@ def apply_deltas(
     enrollments = materialize(drop_mapped(canonical, enrollment_map, "id_inscripcion"))
     exams = materialize(u.with_passed(remap(clean["examenes"], enrollment_map, "id_inscripcion")))
     offerings, evaluations = materialize(clean["dictados"]), materialize(clean["evaluaciones"])
-    lookups = {name: u.ENTITIES[name].clean(staged(staging, name)) for name in LOOKUPS}
-    lookups = dict(zip(lookups, side_by_side([partial(materialize, df) for df in lookups.values()])))
 
     calendar = dimensions.calendar_dimension(u.dates_of(enrollments, exams, evaluations))
     new_dates = materialize(merge.new_rows(warehouse.read("dim_tiempo"), calendar, ["tiempoSKey"]))
@@ -149,30 +157,52 @@ def apply_deltas(
     if date_count:
         warehouse.append("dim_tiempo", new_dates)
 
-    student_delta = u.student_dimension(students, lookups["programas"], as_of)
-    student_counts = merge_dimension(warehouse, "dim_estudiante", student_delta, u.STUDENT_POLICY, as_of)
-    offering_delta = u.offering_dimension(offerings, lookups, as_of)
-    offering_counts = merge_dimension(warehouse, "dim_dictado", offering_delta, u.OFFERING_POLICY, as_of)
+    def lookups(*names: str) -> dict[str, DataFrame]:
+        frames = [u.ENTITIES[name].clean(staged(staging, name)) for name in names]
+        return dict(zip(names, side_by_side([partial(materialize, df) for df in frames])))
+
+    student_counts, offering_counts = dict(scd.NO_CHANGES), dict(scd.NO_CHANGES)
+    if sizes["estudiantes"]:
+        student_delta = u.student_dimension(students, lookups("programas")["programas"], as_of)
+        student_counts = merge_dimension(warehouse, "dim_estudiante", student_delta, u.STUDENT_POLICY, as_of)
+    if sizes["dictados"]:
+        offering_delta = u.offering_dimension(offerings, lookups(*OFFERING_LOOKUPS), as_of)
+        offering_counts = merge_dimension(warehouse, "dim_dictado", offering_delta, u.OFFERING_POLICY, as_of)
 
     student_keys = u.student_keys(warehouse.read("dim_estudiante"))
     offering_keys = u.offering_keys(warehouse.read("dim_dictado"))
-    fact_counts = {
-        "fact_inscripcion": merge_fact(
-            warehouse,
-            "fact_inscripcion",
-            u.enrollment_fact(enrollments, narrowed(student_keys, enrollments), narrowed(offering_keys, enrollments)),
-            ["estado", "abandono"],
+    fact_counts = {table: {"insertados": 0, "actualizados": 0} for table in u.FACT_KEYS}
+    if sizes["inscripciones"]:
+        fact = u.enrollment_fact(enrollments, narrowed(student_keys, enrollments), narrowed(offering_keys, enrollments))
+        fact_counts["fact_inscripcion"] = merge_fact(warehouse, "fact_inscripcion", fact, ["estado", "abandono"])
+    if sizes["examenes"]:
+        fact = new_exams(staging, warehouse, exams, student_map, enrollment_map, student_keys, offering_keys, max_attempts)
+        fact_counts["fact_examen_estudiante"] = merge_fact(
+            warehouse, "fact_examen_estudiante", fact, ["nota", "aprobado"]
         )
-    }
+    if sizes["evaluaciones"]:
+        fact = u.evaluation_fact(evaluations, narrowed(offering_keys, evaluations))
+        fact_counts["fact_evaluacion_dictado"] = merge_fact(warehouse, "fact_evaluacion_dictado", fact, [])
+    return IncrementalReport(sum(sizes.values()), date_count, student_counts, offering_counts, fact_counts)
 
+
+def new_exams(
+    staging: TableStore,
+    warehouse: TableStore,
+    exams: DataFrame,
+    student_map: DataFrame,
+    enrollment_map: DataFrame,
+    student_keys: facts.KeyLookup,
+    offering_keys: facts.KeyLookup,
+    max_attempts: int | None,
+) -> DataFrame:
+    """Fact rows of the exams that the attempt rules accept, given the stored history."""
     owners = enrollments_of(staging, exams, student_map)
     consolidated = attempts.consolidate_attempts(
         exams, owners, enrollment_map, attempt="numero_intento", **ATTEMPT_COLUMNS
     )
-    owned = u.own_exams(consolidated, owners)
-    resolved = materialize(
-        facts.resolve_keys(owned, [narrowed(student_keys, owners), narrowed(offering_keys, owners)])
-    )
+    lookups = [narrowed(student_keys, owners), narrowed(offering_keys, owners)]
+    resolved = materialize(facts.resolve_keys(u.own_exams(consolidated, owners), lookups))
     accepted = attempts.filter_by_history(
         resolved,
         warehouse.read("fact_examen_estudiante"),
@@ -183,16 +213,7 @@ def apply_deltas(
         attempt="numero_intento",
         max_attempts=max_attempts,
     )
-    fact_counts["fact_examen_estudiante"] = merge_fact(
-        warehouse, "fact_examen_estudiante", u.exam_fact(accepted), ["nota", "aprobado"]
-    )
-    fact_counts["fact_evaluacion_dictado"] = merge_fact(
-        warehouse,
-        "fact_evaluacion_dictado",
-        u.evaluation_fact(evaluations, narrowed(offering_keys, evaluations)),
-        [],
-    )
-    return IncrementalReport(0, date_count, student_counts, offering_counts, fact_counts)
+    return u.exam_fact(accepted)
 
 
 def run_incremental(
@@ -216,12 +237,11 @@ def run_incremental(
     try:
         with scratch(staging.spark):
             deltas = read_deltas(staging, last, bootstrap_rows)
-            sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df in deltas.values()]
-            total = int(reduce(DataFrame.union, sizes).agg(F.sum("n")).first()[0])
+            sizes = delta_sizes(deltas)
+            total = sum(sizes.values())
             report = IncrementalReport(0)
             if total:
-                applied = apply_deltas(staging, warehouse, deltas, as_of, max_attempts)
-                report = replace(applied, delta_rows=total)
+                report = apply_deltas(staging, warehouse, deltas, sizes, as_of, max_attempts)
                 warehouse.publish()
     except Exception as error:
         warehouse.discard()

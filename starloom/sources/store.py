@@ -60,7 +60,8 @@ class TableStore:
     def _open(self, table: str, folders: Sequence[str]) -> DataFrame:
         schema = StructType.fromDDL(self.schemas[table])
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            return self.spark.range(0).select(*empty)
         return self.spark.read.schema(schema).parquet(*folders)
 
     def read(self, table: str) -> DataFrame:

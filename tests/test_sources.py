@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from starloom.plans.initial_load import check_sources, load_warehouse, open_stag
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import number_in_file_order, read_csv, stage
 from starloom.sources.store import TableStore
-from starloom.streaming.landing import run_cycle
+from starloom.streaming.landing import run_cycle, run_periodically
 
 
 def test_csv_text_is_kept(spark, tmp_path):
@@ -118,3 +119,24 @@ def test_landing_cycle(spark, tmp_path):
     assert again.delta_rows == 0
     ids = [r.row_id for r in staging.read("stg_dictado").orderBy("row_id").collect()]
     assert ids == list(range(1, len(rows["dictado"]) + 1))
+
+
+def test_periodic_cycle(spark, tmp_path):
+    """The clock runs whole cycles until it is stopped."""
+    staging, warehouse = open_staging(spark, str(tmp_path / "stg")), open_warehouse(spark, str(tmp_path / "dw"))
+    audit = AuditLog(spark, str(tmp_path / "audit"))
+    (tmp_path / "landing" / "programa").mkdir(parents=True)
+    write_sources(tmp_path / "src", {"programa": make_rows()["programa"]})
+    shutil.copy(tmp_path / "src" / "programa.csv", tmp_path / "landing" / "programa")
+    clock = run_periodically(
+        staging, warehouse, audit, str(tmp_path / "landing"), str(tmp_path / "cp"), "1 second", ["programa"]
+    )
+    try:
+        deadline = time.monotonic() + 90
+        while audit.runs().where("estado = 'OK'").isEmpty() and time.monotonic() < deadline and clock.isActive:
+            time.sleep(1)
+    finally:
+        clock.stop()
+    assert clock.exception() is None
+    first = audit.runs().orderBy("id").first()
+    assert (first.estado, first.registros_delta) == ("OK", 7)
