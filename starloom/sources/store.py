@@ -72,9 +72,6 @@ class TableStore:
         """The rows of some parts; no other folder is read."""
         return self._open(table, [f for f in self._folders(table) if _in_parts(f, values)])
 
-    def has_rows(self, table: str) -> bool:
-        return bool(self._folders(table)) and not self.read(table).isEmpty()
-
     def _write(self, table: str, df: DataFrame) -> list[str]:
         """Write rows in table order and type, missing columns as null."""
         version, self._written = self._published()[0] + 1, self._written + 1
