@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import language, quality_model
+from starloom.llm import fertility, language, quality_model
 from starloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Vocabulary files of public tokenizers, read where they are installed.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = lambda spark, folder: build(configure(spark), folder)
@@ -42,6 +47,13 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents, model, "text").select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op8_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    judged = fertility.judge(fertility.measure(documents, PIECES, "text"))
+    return judged.drop("text")
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
