@@ -25,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality_model.fit(docs.where(remainder("doc_id", 5) != 0).join(labels, "doc_id"), "text", "quality", "doc_id")
+    model = quality_model.fit(docs, labels.where(remainder("doc_id", 5) != 0), "text", "quality", "doc_id")
     return quality_model.predict(docs, model, "text").where(F.col("predicted") == 1).select(*docs.columns)
 
 

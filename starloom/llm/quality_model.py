@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.columns import by_slices, sample_by_label, share, struct_array, with_struct
 from starloom.llm.words import boundaries, combined, group_sums, slices, word_hashes, words_of
+from starloom.session import materialize
 
 BITS = 18
 ROWS_PER_LABEL = 8_000
@@ -101,27 +102,30 @@ def _learn_task(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 
 def fit(
-    labelled: DataFrame,
+    rows: DataFrame,
+    verdicts: DataFrame,
     text: str = "nombre_raw",
     label: str = "valido",
     key: str = "row_id",
     rows_per_label: int = ROWS_PER_LABEL,
     rounds: int = ROUNDS,
 ) -> QualityModel:
-    """Learn from about ``rows_per_label`` rows of each label, drawn by the hash of ``key``.
+    """Learn from the texts of about ``rows_per_label`` verdicts of each label, drawn by the hash of ``key``.
 
-    In every round each of a few tasks takes follow-the-leader steps over its rows
-    from the common state, and the common state moves by the mean of their
-    changes. The bound on rows keeps tasks small; the state is two numbers a bucket.
+    The bound keeps tasks small and lets the drawn verdicts be broadcast, so the
+    texts are scanned once and not shuffled. In every round each of a few tasks
+    takes follow-the-leader steps over its rows from the common state, and the
+    state moves by the mean of their changes; it is two numbers a bucket.
     """
-    named = labelled.select(
-        F.xxhash64(F.col(key)).alias("h"), F.col(label).cast("int").alias("label"), F.col(text).cast("string").alias("text")
-    )
-    sample, rows = sample_by_label(named.where(F.col("label").isin(0, 1)), "label", "h", rows_per_label)
+    named = verdicts.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    drawn, counts = sample_by_label(named.where(F.col("label").isin(0, 1)), "label", "key", rows_per_label)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    dealt = sample.repartition(LEARNERS, "h") if rows else sample
-    for _ in range(rounds if rows else 0):
-        shared = share(labelled.sparkSession, (z, n))
+    if counts:
+        texts = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+        sample = texts.join(F.broadcast(drawn), "key").select(F.xxhash64("key").alias("h"), "label", "text")
+        dealt = materialize(sample).repartition(LEARNERS, "h")
+    for _ in range(rounds if counts else 0):
+        shared = share(rows.sparkSession, (z, n))
         step = dealt.mapInArrow(partial(_learn_task, shared=shared), "bucket bigint, z double, n double")
         moved = step.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         bucket = moved.column("bucket").to_numpy()
