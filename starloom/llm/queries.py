@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, quality_model
+from starloom.llm import fertility, language, near_duplicates, quality_model
 from starloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op8_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("text")
 
 
+@query
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates.find(table(spark, folder, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id_tomado", "component_id")
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))

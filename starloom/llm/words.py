@@ -83,7 +83,7 @@ def group_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -99,8 +99,8 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     within = ranges(np.zeros(len(words), dtype=np.int64), lengths).astype(np.uint64)
-    mixed = _mixed((within << np.uint64(8)) + data + np.uint64(1))
-    return _mixed(group_sums(mixed, lengths) + lengths.astype(np.uint64))
+    spread = mixed((within << np.uint64(8)) + data + np.uint64(1))
+    return mixed(group_sums(spread, lengths) + lengths.astype(np.uint64))
 
 
 def combined(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -108,5 +108,5 @@ def combined(hashes: np.ndarray, width: int) -> np.ndarray:
     size = max(0, len(hashes) - width + 1)
     out = np.zeros(size, dtype=np.uint64)
     for i in range(width):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + size] + np.uint64(1))
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + size] + np.uint64(1))
     return out
