@@ -55,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 _scratch_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
 
-def _new_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     base = _scratch_folder.get() or spark.sparkContext.getCheckpointDir()
     return f"{base}/{uuid.uuid4().hex}"
@@ -64,7 +64,7 @@ def _new_folder(spark: SparkSession) -> str:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete everything that is materialized inside the block when it ends."""
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     token = _scratch_folder.set(folder)
     try:
         yield
@@ -81,7 +81,7 @@ def materialize(df: DataFrame) -> DataFrame:
     does not lose it, values that depend on row positions are fixed, and Spark
     knows the real size of what it reads when it picks a join.
     """
-    path = _new_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
