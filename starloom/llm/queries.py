@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, near_duplicates, quality_model
-from starloom.session import configure
+from starloom.llm import fertility, language, near_duplicates, packed_output, quality_model, token_counts, vector_packing
+from starloom.session import configure, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,13 @@ def remainder(key: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor))
 
 
+@query
+def op3_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = vector_packing.pack(table(spark, folder, "documents"), WORDS, "doc_id", "text")
+    digest = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumnRenamed("record_tokens", "doc_tokens")
+    return digest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")
+
+
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
@@ -47,6 +54,20 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents, model, "text").select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op6_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packed_output.pack(table(spark, folder, "documents"), WORDS, "doc_id", "text")
+    return packed.withColumnRenamed("keys", "doc_ids")
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark)
+    places = token_counts.flatten(table(spark, folder, "documents"), WORDS, path, "doc_id", "text")
+    counted = token_counts.count(spark, path).withColumn("part", token_counts.part_number())
+    return counted.join(places, ["part", "document"], "left").select("doc_id", "part", "document", "first_token", "n_tokens", "complete")
+
+
 @query
 def op8_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
