@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, near_duplicates, packed_output, quality_model, token_counts, vector_packing
+from starloom.llm import fertility, language, near_duplicates, packed_output, quality_model, token_counts, url_filter, vector_packing
 from starloom.session import configure, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,21 @@ def remainder(key: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor))
 
 
+URL_RULES = (
+    url_filter.Rule("com", "/", url_filter.ALLOW),
+    url_filter.Rule("example.com", "/en/", url_filter.BLOCK),
+    url_filter.Rule("www.example.com", "/en/", url_filter.ALLOW),
+    url_filter.Rule("net", "/es/", url_filter.BLOCK),
+    url_filter.Rule("net", "/fr/", url_filter.BLOCK),
+)
+
+
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, "url", "page_id").select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op3_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = vector_packing.pack(table(spark, folder, "documents"), WORDS, "doc_id", "text")
