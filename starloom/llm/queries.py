@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, near_duplicates, packed_output, quality_model, token_counts, url_filter, vector_packing
+from starloom.llm import fertility, language, mixing, near_duplicates, packed_output, quality_model, token_counts, url_filter, vector_packing
 from starloom.session import configure, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,27 @@ def op3_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return digest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")
 
 
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def labelled_languages(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of domains: the language of the documents that have labels."""
+    return documents.where(F.col("lang").isNotNull()).select("doc_id", "lang").join(labels.select("doc_id").distinct(), "doc_id")
+
+
+def present(weights: dict[str, float], model: mixing.DomainModel) -> dict[str, float]:
+    return {d: w for d, w in weights.items() if d in model.domains}
+
+
+@query
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labelled = labelled_languages(documents, table(spark, folder, "labels"))
+    model = mixing.fit(documents, labelled, "text", "lang", "doc_id")
+    mixed = mixing.mix(documents, model, present(LANGUAGE_WEIGHTS, model), "doc_id", "text")
+    return mixed.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), "domain", "posterior", "rate", "copies")
+
+
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
