@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import language, quality_model
-from starloom.llm.queries import remainder, table
+from starloom.llm import language, mixing, near_duplicates, quality_model, vector_packing
+from starloom.llm.queries import WORDS, labelled_languages, packed_digest, present, remainder, table
 from starloom.session import configure, materialize
 
 LEAST_LANGUAGE_SCORE = 0.5
+# Target shares of the mix; with every document kept, the others are repeated up to them.
+WEIGHTS = {"en": 0.50, "de": 0.18, "es": 0.14, "fr": 0.18}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +31,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_model.predict(docs, model, "text").where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    found = near_duplicates.find(docs, "doc_id", "text")
+    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, and as often as the language weights ask for."""
+    labels = table(spark, sf_dir, "labels")
+    model = mixing.fit(docs, labelled_languages(docs, labels), "text", "lang", "doc_id")
+    mixed = mixing.mix(docs, model, present(WEIGHTS, model), "doc_id", "text", keep_all=True)
+    more = mixed.where(F.col("copies") > 1).select("doc_id", "copies")
+    copies = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
+    return docs.join(more, "doc_id", "left").withColumn("_copy", copies).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return packed_digest(vector_packing.pack(docs, WORDS, "doc_id", "text"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", language_stage),
     ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 # No stage is expressible in SQL; the tests hold each against a plain version.

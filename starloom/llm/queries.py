@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, mixing, near_duplicates, packed_output, quality_model, token_counts, url_filter, vector_packing
+from starloom.llm import fertility, language, mixing, near_duplicates, neighbours, packed_output, quality_model, token_counts, url_filter, vector_packing
 from starloom.session import configure, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,12 +56,23 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def op3_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = vector_packing.pack(table(spark, folder, "documents"), WORDS, "doc_id", "text")
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    found = neighbours.search(embeddings, embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding")
+    return found.withColumnRenamed("neighbour_id", "vec_id")
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
     digest = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumnRenamed("record_tokens", "doc_tokens")
     return digest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_digest(vector_packing.pack(table(spark, folder, "documents"), WORDS, "doc_id", "text"))
+
+
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 
