@@ -40,6 +40,8 @@ BANDS, PER_BAND = 48, 8
 BLOCK_CLASSES, BLOCK_SHINGLES = 1_000, 2_000_000
 # Columns of the membership matrix that are held at once.
 COLUMNS = 4_096
+# Bytes of text that a task hashes at once.
+RUN_BYTES = 3_000_000
 
 
 def _sketch(texts: pa.Array) -> pa.Array:
@@ -141,8 +143,9 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``key``, ``n_shingles``, ``id_tomado`` and ``kept`` (the id is the one taken)."""
     ship(df.sparkSession)
+    runs_of_text = partial(slices, most=RUN_BYTES)
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    sketch = by_slices(_sketch, "n_shingles bigint, digest bigint, digest2 bigint, bands array<bigint>", slices)
+    sketch = by_slices(_sketch, "n_shingles bigint, digest bigint, digest2 bigint, bands array<bigint>", runs_of_text)
     sketches = materialize(rows.select("key", sketch(F.col("text")).alias("s")).select("key", "s.*"))
 
     equal = ["digest", "digest2", "n_shingles"]
@@ -155,7 +158,7 @@ def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent:
     placed = _in_blocks(members.join(first.select("key", "n_shingles").distinct(), "key"))
 
     texts = rows.join(members.select("key"), "key", "left_semi").distinct()
-    runs = materialize(texts.select("key", by_slices(_sets, "binary", slices)(F.col("text")).alias("runs")))
+    runs = materialize(texts.select("key", by_slices(_sets, "binary", runs_of_text)(F.col("text")).alias("runs")))
     groups = placed.join(runs, "key").select("cluster", "first", "second", "block", "key", "runs")
     dealt = groups.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "key")
     links = dealt.mapInArrow(partial(_verify_task, percent=percent), "a bigint, b bigint")

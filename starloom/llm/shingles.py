@@ -19,7 +19,7 @@ from starloom.llm.words import boundaries, combined, word_hashes, words_of
 
 WIDTH = 5
 # Elements worked on at once; bounds the memory for their permutations.
-ELEMENTS = 150_000
+ELEMENTS = 40_000
 
 _WORD = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 # Texts are worked on in runs of about this many bytes, so an Arrow batch of very
 # long texts never needs a multiple of its own size at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 
 
 def texts_of(values: pa.Array) -> pa.Array:
