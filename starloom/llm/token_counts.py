@@ -95,7 +95,7 @@ def count(spark: SparkSession, path: str, end_id: int = END_ID, width: str = "<u
     stitched = (
         blocks.withColumn("base", base)
         .withColumn("document", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-        .withColumn("last_end", F.col("base") + F.element_at("ends", -1))
+        .withColumn("last_end", F.col("base") + F.try_element_at("ends", F.lit(-1)))
         .withColumn("open", F.coalesce(F.max("last_end").over(before) + 1, F.lit(0)))
         .withColumn("last_block", F.lead("block").over(order).isNull())
     )
