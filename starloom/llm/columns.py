@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 import starloom
 
 MOST_LABELS = 512
+# Rows per Arrow batch; texts of some kilobytes each then take a few megabytes at once.
+BATCH_ROWS = 2_000
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the Python workers of a session, once."""
+    """Send the package to the Python workers of a session, once, and bound the batches they get."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId not in _shipped:
         root = Path(starloom.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="starloom-")) / "starloom_package.zip"

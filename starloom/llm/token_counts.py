@@ -63,8 +63,8 @@ def flatten(df: DataFrame, vocabulary: str, path: str, key: str = "row_id", text
 def _scan_task(batches: Iterator[pa.RecordBatch], end_id: int, width: str, block_tokens: int) -> Iterator[pa.RecordBatch]:
     """One row per block: how many ids it has, and where the ends are."""
     for batch in batches:
-        for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = np.frombuffer(content, dtype=width)
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = np.frombuffer(content.as_buffer(), dtype=width)
             starts = range(0, len(ids), block_tokens)
             blocks = [ids[s : s + block_tokens] for s in starts]
             ends = [np.flatnonzero(b == end_id) for b in blocks]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from starloom.llm.words import Words, group_sums, ranges, words_of
 
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 WORDS_PER_CALL = 256
 
 # A full stop or comma after a letter or digit is always a token of its own, so
