@@ -11,7 +11,8 @@ from starloom.session import materialize
 def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least node around it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    # Written down, so that both sides of the join are plain shuffles and a hot node can be split.
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
 
 

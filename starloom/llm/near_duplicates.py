@@ -124,7 +124,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """Classes with another class of a bucket they share; only a star per bucket."""
     rows = classes.select(F.col("key").alias("a"), F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most")
-    return rows.join(buckets.select("bucket", "b"), "bucket").where("a <> b").select("a", "b")
+    # Written down, so that both sides of the join are plain shuffles and a hot bucket can be split.
+    return rows.join(materialize(buckets.select("bucket", "b")), "bucket").where("a <> b").select("a", "b")
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
