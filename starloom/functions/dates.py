@@ -30,24 +30,26 @@ SECOND_PERIOD_WORDS = ("C2", "2", "P2", "SEGUNDO")
 _MONTH = "(1[0-2]|0[1-9]|[1-9])"
 _DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 
-# Years a nanosecond timestamp can hold as a whole: 1678 to 2261.
-_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+_YEAR = r"((?!0000)\d\d\d\d)"
+
+# A time of day after a full date is read over.
+_TIME = r"(?:[T ]+\d\d?:\d\d(?::\d\d(?:[.,]\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d\d:?\d\d)?)?"
 
 # Day first, year first and month first in one pattern, and their ISO form; text in
 # no layout comes out as "--". No text fits two layouts in a different sense, for
 # where a day-first reading has a day past 12, a month-first one has no such month.
-_FULL = rf"(?s)^(?:{_DAY}([-/]){_MONTH}\2{_YEAR}|{_YEAR}([-/]?){_MONTH}\6{_DAY}|{_MONTH}-{_DAY}-{_YEAR}|.*)$"
+_FULL = rf"(?s)^(?:(?:{_DAY}([-/]){_MONTH}\2{_YEAR}|{_YEAR}([-/]?){_MONTH}\6{_DAY}|{_MONTH}-{_DAY}-{_YEAR}){_TIME}|.*)$"
 _FULL_ISO = "$4$5$11-$3$7$9-$1$8$10"
 _SHORT = rf"(?s)^(?:{_DAY}/{_MONTH}/(\d\d)|.*)$"
 _YEAR_ONLY = rf"(?s)^(?:{_YEAR}|.*)$"
 
 
 def clean_date(c: Column) -> Column:
-    """Date from the supported layouts, for the years 1678 to 2261.
+    """Date from the supported layouts, for any year of four digits.
 
     ``Y-M-D``, ``D/M/Y``, ``YMD``, ``D-M-Y``, ``M-D-Y``, ``Y``, ``D/M/y``, ``Y/M/D``.
-    A two-digit year from 69 on belongs to the 1900s. Text in any other layout,
-    and days that do not exist, become null.
+    A two-digit year from 69 on belongs to the 1900s. A time of day may follow a
+    full date. Text in any other layout, and days that do not exist, become null.
     """
     text = strip(c)
     century = F.when(F.right(text, F.lit(2)) >= "69", F.lit("19")).otherwise(F.lit("20"))

@@ -15,8 +15,7 @@ NATIONAL_ID_MAX = 99_999_999
 # is passed on. Each cleaner uses its input once, so that chained expressions do
 # not multiply.
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
-# Exponents stop at 299, so that no text reads as infinity.
-_EXPONENT = "(?:[eE][+-]?0*[0-2]?[0-9]{1,2})?"
+_EXPONENT = "(?:[eE][+-]?[0-9]+)?"
 _INTEGER = rf"^([+-]?{_DIGITS}{_EXPONENT})$"
 _DECIMAL = rf"^([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT})$"
 
@@ -24,19 +23,29 @@ _DECIMAL = rf"^([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT})$"
 _GROUPING = r"\.(?=.*,[^.,]*$)|,(?=.*\.[^.,]*$)"
 
 
-def _as_double(text: Column, shape: str) -> Column:
-    return F.replace(F.regexp_extract(strip(text), shape, 1), F.lit("_"), F.lit("")).try_cast("double")
+def _digits(text: Column, shape: str) -> Column:
+    return F.replace(F.regexp_extract(strip(text), shape, 1), F.lit("_"), F.lit(""))
+
+
+def _finite(number: Column) -> Column:
+    """Text beyond the largest double is no number."""
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def clean_integer(c: Column) -> Column:
-    """Dots, commas and blanks are grouping marks: ``34.157.347`` is 34157347."""
-    return _as_double(F.translate(c, "., ", ""), _INTEGER).try_cast("bigint")
+    """Dots, commas and blanks are grouping marks: ``34.157.347`` is 34157347.
+
+    Plain digits are read exactly; only text with an exponent goes through a double.
+    """
+    digits = _digits(F.translate(c, "., ", ""), _INTEGER)
+    large = digits.try_cast("double").try_cast("bigint")
+    return F.when(F.contains(digits, F.lit("e")) | F.contains(digits, F.lit("E")), large).otherwise(digits.try_cast("bigint"))
 
 
 def clean_decimal(c: Column) -> Column:
     """The right-most of ``,`` and ``.`` is the decimal mark, the other one groups."""
     ungrouped = F.regexp_replace(F.translate(c, " ", ""), _GROUPING, "")
-    return _as_double(F.translate(ungrouped, ",", "."), _DECIMAL)
+    return _finite(_digits(F.translate(ungrouped, ",", "."), _DECIMAL).try_cast("double"))
 
 
 def identifier(c: Column) -> Column:

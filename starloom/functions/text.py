@@ -36,10 +36,14 @@ def clean_title(c: Column) -> Column:
     """Strip and title-case. Null stays null and empty text stays empty.
 
     ``initcap`` alone only opens words after a blank. Each word start gets a
-    marker ending in a blank first, and the markers are taken out afterwards.
+    marker ending in a blank first, and the markers are taken out afterwards. A
+    marker that is in the text itself is kept by doubling its first character.
     """
-    marked = F.regexp_replace(strip(c), _WORD, _MARK + "$0")
-    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
+    escaped = F.replace(strip(c), F.lit(_MARK[0]), F.lit(_MARK[0] * 2))
+    marked = F.regexp_replace(escaped, _WORD, _MARK + "$0")
+    # A marker made here follows an even number of escapes, one of the text an odd number.
+    unmarked = F.regexp_replace(F.initcap(marked), "((?:^|[^\u0001])(?:\u0001\u0001)*)\u0001 ", "$1")
+    return F.replace(unmarked, F.lit(_MARK[0] * 2), F.lit(_MARK[0]))
 
 
 def clean_gender(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators.dedupe import KEPT_ID, REPEATED_ID, keep_one
 from starloom.operators.joins import keep_matching, skew_safe_join
+from starloom.session import materialize
 
 
 def apply_attempt_rule(
@@ -50,11 +51,12 @@ def _owned_and_rest(
     """Exams of touched enrollments with their group columns, and all other exams.
 
     Only the owners of touched enrollments are joined to the exams, so one join
-    finds the group and tells the two kinds apart.
+    finds the group and tells the two kinds apart. Its result is written down, as
+    both parts read it.
     """
     touched = touched_ids(enrollment_map, enrollment_id)
     owners = keep_matching(enrollments.select(enrollment_id, *group), touched, [enrollment_id])
-    tagged = skew_safe_join(exams, owners.dropna(subset=list(group)).distinct(), [enrollment_id], "left")
+    tagged = materialize(skew_safe_join(exams, owners.dropna(subset=list(group)).distinct(), [enrollment_id], "left"))
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
     return tagged.where(known), tagged.where(~known).select(*exams.columns)
 

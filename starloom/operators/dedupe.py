@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.joins import HEAVY_KEY_ROWS, drop_matching, keep_matching, skew_safe_join
+from starloom.operators.joins import drop_matching, keep_matching, skew_safe_join
 
 # Column names of a duplicate map.
 REPEATED_ID = "id_repetido"
@@ -31,31 +31,24 @@ def keep_one(
 
 
 def _shared_groups(df: DataFrame, group_by: Sequence[str], id_col: str) -> DataFrame:
-    """Groups that hold more than one id: the smallest id and the number of rows."""
+    """Groups that hold more than one id, with the smallest id."""
     return (
         df.dropna(subset=[*group_by, id_col])
         .groupBy(*group_by)
         .agg(
             F.min(id_col).alias(KEPT_ID),
             F.max(id_col).alias("_largest"),
-            F.count(F.lit(1)).alias("_rows"),
         )
         .where(F.col(KEPT_ID) != F.col("_largest"))
         .drop("_largest")
     )
 
 
-def _with_kept_id(
-    df: DataFrame, group_by: Sequence[str], id_col: str, how: str, heavy_rows: int
-) -> DataFrame:
-    groups = _shared_groups(df, group_by, id_col)
-    heavy = groups.where(F.col("_rows") > heavy_rows)
-    return skew_safe_join(df, groups.drop("_rows"), group_by, how, heavy=heavy)
+def _with_kept_id(df: DataFrame, group_by: Sequence[str], id_col: str, how: str) -> DataFrame:
+    return skew_safe_join(df, _shared_groups(df, group_by, id_col), group_by, how)
 
 
-def duplicate_map(
-    df: DataFrame, group_by: Sequence[str], id_col: str, heavy_rows: int = HEAVY_KEY_ROWS
-) -> DataFrame:
+def duplicate_map(df: DataFrame, group_by: Sequence[str], id_col: str) -> DataFrame:
     """``(id_repetido, id_tomado)`` for every id that is not the smallest of its group.
 
     Rows with a null group value are never duplicates. The smallest id comes from
@@ -64,34 +57,22 @@ def duplicate_map(
     """
     narrow = df.select(*group_by, id_col)
     return (
-        _with_kept_id(narrow, group_by, id_col, "inner", heavy_rows)
+        _with_kept_id(narrow, group_by, id_col, "inner")
         .where(F.col(id_col) != F.col(KEPT_ID))
         .select(F.col(id_col).alias(REPEATED_ID), KEPT_ID)
         .distinct()
     )
 
 
-def drop_duplicates_of(
-    df: DataFrame, group_by: Sequence[str], id_col: str, heavy_rows: int = HEAVY_KEY_ROWS
-) -> DataFrame:
+def drop_duplicates_of(df: DataFrame, group_by: Sequence[str], id_col: str) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group."""
     return (
-        _with_kept_id(df, group_by, id_col, "left", heavy_rows)
+        _with_kept_id(df, group_by, id_col, "left")
         .where(F.col(KEPT_ID).isNull() | (F.col(id_col) == F.col(KEPT_ID)))
         .select(*df.columns)
     )
 
 
-def detect_duplicates(
-    df: DataFrame, group_by: Sequence[str], id_col: str, heavy_rows: int = HEAVY_KEY_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """The canonical rows and the duplicate map."""
-    return (
-        drop_duplicates_of(df, group_by, id_col, heavy_rows),
-        duplicate_map(df, group_by, id_col, heavy_rows),
-    )
-
-
 def remap(df: DataFrame, id_map: DataFrame, column: str) -> DataFrame:
     """Replace ids found in the map by their canonical id; others stay. One level."""
     lookup = id_map.select(F.col(REPEATED_ID).alias(column), F.col(KEPT_ID).alias("_kept"))

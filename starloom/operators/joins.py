@@ -5,81 +5,63 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over SALT_FANOUT tasks. There can be
-# at most (rows / HEAVY_KEY_ROWS) such keys, which bounds the broadcast list.
-HEAVY_KEY_ROWS = 1_000_000
-SALT_FANOUT = 64
-
+from starloom.session import materialize
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate is under the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+# A key with more rows than this is salted where a caller asks for it: over one
+# task per so many rows.
+HEAVY_KEY_ROWS = 1_000_000
+_ROWS = "_heavy_rows"
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows. Reads the key columns only."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > min_rows).select(*keys)
+    """Keys with more than ``min_rows`` rows and their number of tasks, written down.
 
-
-def _any_null(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    Reads the key columns of ``df``, so hand it a stored table, not the result of
+    joins: it is worked out here once. There are at most rows / ``min_rows`` keys.
+    """
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > min_rows)
+    return materialize(counts.select(*keys, F.ceil(F.col(_ROWS) / min_rows).cast("int").alias(_ROWS)))
 
 
 def skew_safe_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    heavy: DataFrame | None = None,
-    heavy_rows: int = HEAVY_KEY_ROWS,
-    fanout: int = SALT_FANOUT,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", heavy: DataFrame | None = None
 ) -> DataFrame:
     """Equi-join of a large ``left`` to a ``right`` with few rows per key.
 
-    A ``right`` under the broadcast limit is left to Spark. Otherwise the heavy
-    keys of ``left`` are found by a pre-aggregation (or passed in), their rows
-    are spread over ``fanout`` salts, and only the matching rows of ``right`` are
-    repeated per salt. Rows with a null key never match and are spread as well.
-    The salt depends on the row and its input partition only, so a retried task
-    gives the same salt. ``how`` is inner, left, left_semi or left_anti.
+    Each side is in the plan once. Hot keys of ``left``, and its null keys, are left
+    to adaptive execution, which splits the partition they fall into. Where that is
+    not wanted, ``heavy`` (from ``heavy_keys`` of the stored table behind ``left``)
+    names the keys to salt, each over as many tasks as its rows ask for; the
+    matching rows of ``right`` are repeated as often. The salt depends on the row
+    and its input partition only, so a retried task gives the same one.
+    ``how`` is inner, left, left_semi or left_anti.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
-        raise ValueError(f"the right side is repeated per salt, so {how!r} is not possible")
+        raise ValueError(f"the right side is not split, so {how!r} is not possible")
     on = list(on)
-    if fits_broadcast(right):
-        return left.join(right, on, how)
     if heavy is None:
-        heavy = heavy_keys(left, on, heavy_rows)
-    hot = F.broadcast(heavy.select(*on).withColumn("_hot", F.lit(True)))
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    salt = F.pmod(row_hash + F.spark_partition_id(), F.lit(fanout)).cast("int")
-    salted_left = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | _any_null(on), salt).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = (
-        right.dropna(subset=on).join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted_left.drop("_hot").join(salted_right, [*on, "_salt"], how).drop("_salt")
+        return left.join(right, on, how)
+    tasks = F.coalesce(F.col(_ROWS), F.lit(1))
+    row_hash = F.xxhash64(*[F.col(c) for c in left.columns]) + F.spark_partition_id()
+    salted_left = left.join(heavy, on, "left").withColumn("_salt", F.pmod(row_hash, tasks).cast("int")).drop(_ROWS)
+    copies = F.explode(F.sequence(F.lit(0), tasks - 1))
+    salted_right = right.join(heavy, on, "left").withColumn("_salt", copies).drop(_ROWS)
+    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
 def _key_side(keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Key values to match against, reduced to distinct ones unless they are broadcast anyway."""
-    values = keys.select(*on)
-    return values if fits_broadcast(values) else values.distinct()
+    """The different key values to match against; a hot one is reduced before its shuffle."""
+    return keys.select(*on).distinct()
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with a match.
 
-    With few keys, as of a delta, this is one scan of ``df`` without a shuffle of
-    it, so later joins against the delta only move rows that can match.
+    With few keys, as of a delta, Spark broadcasts them: one scan of ``df`` without a
+    shuffle of it, so later joins against the delta only move rows that can match.
     """
     return skew_safe_join(df, _key_side(keys, on), on, "left_semi")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.joins import HEAVY_KEY_ROWS, skew_safe_join
+from starloom.operators.joins import skew_safe_join
 from starloom.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this bit.
@@ -75,9 +75,8 @@ def position_in_group(
     """
     numbered = assign_surrogate_keys(df, "_number", [*group, *order_by])
     groups = numbered.groupBy(*group).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias(size))
-    heavy = groups.where(F.col(size) > HEAVY_KEY_ROWS)
     return (
-        skew_safe_join(numbered, groups, group, "left", heavy=heavy)
+        skew_safe_join(numbered, groups, group, "left")
         .withColumn(position, F.col("_number") - F.col("_first"))
         .select(*df.columns, position, size)
     )

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 # Run states in the audit log.
 RUNNING, OK, ERROR = "RUNNING", "OK", "ERROR"
 
-# Fixed value: rows per table read by a first incremental run without a watermark.
-BOOTSTRAP_ROWS = 1000
-
 AUDIT_SCHEMA = (
     "id bigint, inicio timestamp, fin timestamp, ultima_extraccion timestamp, "
     "nueva_extraccion timestamp, estado string, registros_delta bigint, mensaje_error string"
 )
+# The staging version a run has read up to; a clock could skip rows that are staged meanwhile.
+STAGED_VERSION = "version_staging"
 
 
 def rows_after(df: DataFrame, watermark: dt.datetime, loaded_at: str = "fecha_carga") -> DataFrame:
@@ -24,15 +23,14 @@ def rows_after(df: DataFrame, watermark: dt.datetime, loaded_at: str = "fecha_ca
     return df.where(F.col(loaded_at) > F.lit(watermark))
 
 
-def latest_rows(df: DataFrame, n: int = BOOTSTRAP_ROWS, order_by: str = "row_id") -> DataFrame:
+def latest_rows(df: DataFrame, n: int, order_by: str = "row_id") -> DataFrame:
     """The ``n`` rows with the highest order number (top-k, no full sort)."""
     return df.orderBy(F.col(order_by).desc()).limit(n)
 
 
-def delta(
-    df: DataFrame, watermark: dt.datetime | None, bootstrap_rows: int = BOOTSTRAP_ROWS
-) -> DataFrame:
-    return latest_rows(df, bootstrap_rows) if watermark is None else rows_after(df, watermark)
+def delta(df: DataFrame, watermark: dt.datetime | None) -> DataFrame:
+    """Rows after the watermark; without one every row, so that nothing is skipped for good."""
+    return df if watermark is None else rows_after(df, watermark)
 
 
 def run_states(log: DataFrame) -> DataFrame:
@@ -47,5 +45,14 @@ def run_states(log: DataFrame) -> DataFrame:
 
 def latest_watermark(log: DataFrame) -> DataFrame:
     """One row: the watermark of the newest successful run, null without one."""
-    good = log.where((F.col("estado") == OK) & F.col("nueva_extraccion").isNotNull())
-    return good.agg(F.max_by("nueva_extraccion", "id").alias("nueva_extraccion"))
+    return _of_newest_good_run(log, "nueva_extraccion")
+
+
+def latest_version(log: DataFrame) -> DataFrame:
+    """One row: the staging version of the newest successful run, null without one."""
+    return _of_newest_good_run(log, STAGED_VERSION)
+
+
+def _of_newest_good_run(log: DataFrame, column: str) -> DataFrame:
+    good = log.where((F.col("estado") == OK) & F.col(column).isNotNull())
+    return good.agg(F.max_by(column, "id").alias(column))

@@ -22,6 +22,8 @@ from starloom.sources.store import TableStore
 
 OFFERING_LOOKUPS = ("cursos", "docentes", "departamentos", "facultades")
 LOOKUPS = ("programas", *OFFERING_LOOKUPS)
+# A table of more folders than this is written anew as one.
+MOST_FOLDERS = 64
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,18 @@ def staged(staging: TableStore, entity: str) -> DataFrame:
 
 
 def read_deltas(
-    staging: TableStore, last: dt.datetime | None, bootstrap_rows: int
+    staging: TableStore, last: dt.datetime | None, version: int | None
 ) -> dict[str, DataFrame]:
-    """The new rows of every table, written down: each is small and read many times."""
+    """The new rows of every table, written down: each is small and read many times.
+
+    New is what was published after the version that the last good run has seen.
+    Logs without versions are read by their watermark, and without any good run
+    everything is new.
+    """
 
     def read(name: str) -> DataFrame:
-        return materialize(watermark.delta(staged(staging, name), last, bootstrap_rows))
+        rows = staging.read_since(u.staging_name(u.ENTITIES[name].source), version)
+        return materialize(watermark.delta(rows, last if version is None else None))
 
     return dict(zip(u.ENTITIES, side_by_side([partial(read, name) for name in u.ENTITIES])))
 
@@ -68,7 +76,6 @@ def rebuild_maps(staging: TableStore, scope: str = "all") -> tuple[DataFrame, Da
     student_map, enrollment_map = identity_maps(students, enrollments, u.CASCADE, scope)
     staging.replace(STUDENT_MAP, student_map)
     staging.replace(ENROLLMENT_MAP, enrollment_map)
-    staging.publish()
     return student_map, enrollment_map
 
 
@@ -222,30 +229,31 @@ def run_incremental(
     audit: AuditLog,
     began: dt.datetime | None = None,
     as_of: dt.date | None = None,
-    bootstrap_rows: int = watermark.BOOTSTRAP_ROWS,
     max_attempts: int | None = None,
 ) -> IncrementalReport:
     """Load everything staged since the last good run.
 
-    All tables are published together at the end. A failed run publishes nothing,
-    is logged with its error, and leaves the watermark where it was.
+    All tables are published together at the end, the duplicate maps of staging just
+    before the warehouse. A failed run publishes nothing, is logged with its error,
+    and leaves the watermark and the version where they were.
     """
     began = began or dt.datetime.now()
     as_of = as_of or began.date()
-    last = audit.last_watermark()
+    last, version = audit.last_watermark(), audit.last_version()
     run = audit.start(began, last)
     try:
-        with scratch(staging.spark):
-            deltas = read_deltas(staging, last, bootstrap_rows)
+        with warehouse.transaction(), staging.transaction(), scratch(staging.spark):
+            seen = staging.version()
+            deltas = read_deltas(staging, last, version)
             sizes = delta_sizes(deltas)
             total = sum(sizes.values())
             report = IncrementalReport(0)
             if total:
                 report = apply_deltas(staging, warehouse, deltas, sizes, as_of, max_attempts)
-                warehouse.publish()
+                for table in u.WAREHOUSE_SCHEMAS:
+                    warehouse.compact(table, MOST_FOLDERS)
     except Exception as error:
-        warehouse.discard()
         audit.close(run, began, last, max(began, dt.datetime.now()), watermark.ERROR, 0, str(error))
         raise
-    audit.close(run, began, last, max(began, dt.datetime.now()), watermark.OK, total)
+    audit.close(run, began, last, max(began, dt.datetime.now()), watermark.OK, total, version=seen)
     return report

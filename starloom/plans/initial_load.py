@@ -162,21 +162,29 @@ def load_warehouse(
 ) -> LoadReport:
     """Rebuild every warehouse table from staging and publish them together.
 
-    ``began`` becomes the watermark, so rows staged while the load runs are left
-    to the first incremental run.
+    ``began`` becomes the watermark and the staging version it reads is logged, so
+    rows staged while the load runs are left to the first incremental run. A failed
+    load leaves nothing pending.
     """
     with scratch(staging.spark):
-        return _load_warehouse(staging, warehouse, audit, as_of, began)
+        try:
+            return _load_warehouse(staging, warehouse, audit, as_of, began)
+        except BaseException:
+            staging.discard()
+            warehouse.discard()
+            raise
 
 
 def _load_warehouse(
     staging: TableStore, warehouse: TableStore, audit: AuditLog, as_of: dt.date, began: dt.datetime
 ) -> LoadReport:
+    staging.discard()
+    warehouse.discard()
+    seen = staging.version()
     clean = clean_all(staging)
     merged = resolve_identities(clean["estudiantes"], clean["inscripciones"], clean["examenes"], u.CASCADE)
     staging.replace(STUDENT_MAP, merged.person_map)
     staging.replace(ENROLLMENT_MAP, merged.enrollment_map)
-    staging.publish()
 
     enrollments = materialize(merged.enrollments)
     raw_exams = u.with_passed(merged.exams)
@@ -214,8 +222,9 @@ def _load_warehouse(
     side_by_side([partial(store, table) for table in built])
 
     run = audit.start(began, None)
+    staging.publish()
     version = warehouse.publish()
-    audit.close(run, began, None, max(began, dt.datetime.now()), watermark.OK, 0)
+    audit.close(run, began, None, max(began, dt.datetime.now()), watermark.OK, 0, version=seen)
 
     reports = [
         cleaning_report(staging),

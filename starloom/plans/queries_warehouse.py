@@ -501,7 +501,7 @@ def watermark_delta(t: Tables) -> DataFrame:
     "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 1000",
 )
 def bootstrap_latest_rows(t: Tables) -> DataFrame:
-    return watermark.latest_rows(t.events, order_by="event_id").select("event_id", "user_id", "event_type", "value")
+    return watermark.latest_rows(t.events, 1000, order_by="event_id").select("event_id", "user_id", "event_type", "value")
 
 
 def _runs(t: Tables) -> DataFrame:

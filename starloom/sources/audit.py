@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from starloom.operators import watermark
 
+_SCHEMA = f"{watermark.AUDIT_SCHEMA}, {watermark.STAGED_VERSION} bigint"
+
 
 @dataclass(frozen=True)
 class AuditLog:
@@ -21,9 +23,9 @@ class AuditLog:
 
     def entries(self) -> DataFrame:
         try:
-            return self.spark.read.schema(watermark.AUDIT_SCHEMA).parquet(self.path)
+            return self.spark.read.schema(_SCHEMA).parquet(self.path)
         except AnalysisException:
-            return self.spark.createDataFrame([], watermark.AUDIT_SCHEMA)
+            return self.spark.createDataFrame([], _SCHEMA)
 
     def runs(self) -> DataFrame:
         """The current state of each run."""
@@ -32,13 +34,17 @@ class AuditLog:
     def last_watermark(self) -> dt.datetime | None:
         return watermark.latest_watermark(self.runs()).first()[0]
 
+    def last_version(self) -> int | None:
+        """The staging version that the last good run has read up to."""
+        return watermark.latest_version(self.runs()).first()[0]
+
     def _add(self, *values: object) -> None:
-        row = self.spark.createDataFrame([values], watermark.AUDIT_SCHEMA)
+        row = self.spark.createDataFrame([values], _SCHEMA)
         row.coalesce(1).write.mode("append").parquet(self.path)
 
     def start(self, began: dt.datetime, last: dt.datetime | None) -> int:
         run = (self.entries().agg(F.max("id")).first()[0] or 0) + 1
-        self._add(run, began, None, last, None, watermark.RUNNING, None, None)
+        self._add(run, began, None, last, None, watermark.RUNNING, None, None, None)
         return run
 
     def close(
@@ -50,6 +56,7 @@ class AuditLog:
         state: str,
         rows: int,
         message: str | None = None,
+        version: int | None = None,
     ) -> None:
         """The start time of the run becomes the watermark of the next one."""
-        self._add(run, began, ended, last, began, state, rows, message)
+        self._add(run, began, ended, last, began, state, rows, message, version)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -68,6 +70,19 @@ class TableStore:
         """The table with this run's unpublished changes; empty before the first load."""
         return self._open(table, self._folders(table))
 
+    def version(self) -> int:
+        """The last published version."""
+        return self._published()[0]
+
+    def read_since(self, table: str, version: int | None) -> DataFrame:
+        """Rows published after a version (None: all); no older folder is read.
+
+        A table that was replaced since then is new as a whole.
+        """
+        published = self._published()[1].get(table, [])
+        self._folders(table)
+        return self._open(table, [f for f in published if version is None or _version_of(f) > version])
+
     def read_parts(self, table: str, values: Sequence[int]) -> DataFrame:
         """The rows of some parts; no other folder is read."""
         return self._open(table, [f for f in self._folders(table) if _in_parts(f, values)])
@@ -126,11 +141,37 @@ class TableStore:
         except AnalysisException:
             return False
 
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Publish what the block writes when it ends, and forget it if the block fails.
+
+        Nothing that was pending before is taken along.
+        """
+        self.discard()
+        try:
+            yield
+            self.publish()
+        except BaseException:
+            self.discard()
+            raise
+
+    def compact(self, table: str, most_folders: int = 32) -> bool:
+        """Write a table with more folders anew as one, with the same rows; whether it was."""
+        folders = self._folders(table)
+        if len(folders) <= most_folders:
+            return False
+        self.replace(table, self._open(table, folders))
+        return True
+
     def discard(self) -> None:
         """Forget what was written and not published, and read the state afresh."""
         self._pending.clear()
         self._state, self._written = None, 0
 
 
+def _version_of(folder: str) -> int:
+    return int(re.search(r"/v=(\d+)-\d+", folder)[1])
+
+
 def _in_parts(folder: str, values: Sequence[int]) -> bool:
     return any(folder.endswith(f"/{_PART}={value}") for value in values)

@@ -34,9 +34,14 @@ def _stage_batch(
     """Append one micro-batch to its staging table, once even if it is replayed."""
     if rows.isEmpty() or staging.was_published(label):
         return
-    with scratch(staging.spark):
-        _append_rows(staging, source, rows, now())
-    staging.publish(label)
+    staging.discard()
+    try:
+        with scratch(staging.spark):
+            _append_rows(staging, source, rows, now())
+        staging.publish(label)
+    except BaseException:
+        staging.discard()
+        raise
 
 
 def _append_rows(staging: TableStore, source: str, rows: DataFrame, loaded_at: dt.datetime) -> None:

@@ -40,16 +40,19 @@ def hot_frame(spark, n=3000):
 def test_skew_safe_join_matches_plain_join(spark, no_broadcast, how):
     left = hot_frame(spark)
     right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 50)] + [(None, "null")], "k int, name string")
-    salted = joins.skew_safe_join(left, right, ["k"], how, heavy_rows=100, fanout=8)
+    heavy = joins.heavy_keys(left, ["k"], min_rows=100)
+    assert rows(heavy, "k", "_heavy_rows") == Counter([(7, -(-left.where("k = 7").count() // 100))])
     plain = left.join(right, "k", how)
-    assert rows(salted, *plain.columns) == rows(plain, *plain.columns)
+    for salted in (joins.skew_safe_join(left, right, ["k"], how, heavy=heavy), joins.skew_safe_join(left, right, ["k"], how)):
+        assert rows(salted, *plain.columns) == rows(plain, *plain.columns)
 
 
 def test_skew_safe_join_spreads_the_hot_key(spark, no_broadcast):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         right = spark.createDataFrame([(k, f"r{k}") for k in range(50)], "k int, name string")
-        joined = joins.skew_safe_join(hot_frame(spark), right, ["k"], "left", heavy_rows=100, fanout=32)
+        left = hot_frame(spark)
+        joined = joins.skew_safe_join(left, right, ["k"], "left", heavy=joins.heavy_keys(left, ["k"], min_rows=50))
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -62,11 +65,6 @@ def test_skew_safe_join_rejects_outer(spark):
         joins.skew_safe_join(df, df, ["k"], "full")
 
 
-def test_size_check(spark):
-    assert joins.fits_broadcast(spark.range(5))
-    assert not joins.fits_broadcast(spark.range(10**9))
-
-
 def test_keep_one_cuts_before_the_shuffle(spark):
     kept = dedupe.keep_one(hot_frame(spark), ["k"], ["id"])
     plan = kept._jdf.queryExecution().executedPlan().toString()
@@ -87,8 +85,8 @@ def test_duplicate_map_with_hot_group(spark, no_broadcast):
         if r.k is not None:
             smallest[r.k] = min(smallest.get(r.k, r.id), r.id)
     expected = Counter((r.id, smallest[r.k]) for r in df.collect() if r.k is not None and r.id != smallest[r.k])
-    assert rows(dedupe.duplicate_map(df, ["k"], "id", heavy_rows=50), "id_repetido", "id_tomado") == expected
-    clean = dedupe.drop_duplicates_of(df, ["k"], "id", heavy_rows=50)
+    assert rows(dedupe.duplicate_map(df, ["k"], "id"), "id_repetido", "id_tomado") == expected
+    clean = dedupe.drop_duplicates_of(df, ["k"], "id")
     repeated = {i for i, _ in expected}
     assert {r.id for r in clean.collect()} == {r.id for r in df.collect()} - repeated
 
@@ -234,7 +232,8 @@ def test_watermark_filter_reaches_the_scan(spark, tmp_path):
     new = watermark.delta(spark.read.parquet(str(tmp_path / "t")), dt.datetime(2024, 1, 1))
     assert [r.row_id for r in new.collect()] == [2]
     assert "GreaterThan(fecha_carga" in new._jdf.queryExecution().executedPlan().toString()
-    assert [r.row_id for r in watermark.delta(df, None, 1).collect()] == [2]
+    assert watermark.delta(df, None).count() == 2
+    assert [r.row_id for r in watermark.latest_rows(df, 1).collect()] == [2]
 
 
 def test_scratch_is_deleted(spark):
