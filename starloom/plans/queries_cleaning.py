@@ -83,8 +83,9 @@ def clean_title_documents(t: Tables) -> DataFrame:
     "clean_int",
     """
     WITH n AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
-    SELECT o_orderkey, CASE o_orderkey % 9
-             WHEN 5 THEN cents * 10 WHEN 6 THEN -cents WHEN 7 THEN NULL ELSE cents END AS cleaned
+    SELECT o_orderkey, CASE o_orderkey % 10
+             WHEN 5 THEN cents * 10 WHEN 6 THEN -cents WHEN 7 THEN NULL WHEN 9 THEN 9007199254740993 + o_orderkey
+             ELSE cents END AS cleaned
     FROM n
     """,
 )
@@ -102,6 +103,7 @@ def clean_int(t: Tables) -> DataFrame:
         F.concat(F.lit("-"), text),
         _pick(F.length(text), F.lit("n/a"), F.lit(""), F.concat(text, F.lit("d")), F.lit("inf"), F.lit(None)),
         F.concat(text, F.lit("e0")),
+        (F.col("o_orderkey") + F.lit(9007199254740993)).cast("string"),
     )
     return t.orders.select("o_orderkey", fn.clean_integer(raw).alias("cleaned"))
 
@@ -125,7 +127,7 @@ def clean_float(t: Tables) -> DataFrame:
         F.translate(grouped, ",.", ".,"),
         F.concat(F.lit(" "), F.translate(grouped, ",", " "), F.lit(" ")),
         F.concat(F.lit("+"), text),
-        _pick(F.col("l_partkey"), F.lit("None"), F.concat(text, F.lit("f")), F.lit("1.2.3"), F.lit(None)),
+        _pick(F.col("l_partkey"), F.lit("None"), F.concat(text, F.lit("f")), F.lit("1.2.3"), F.lit("9" * 400), F.lit(None)),
     )
     return t.lineitem.select(
         "l_orderkey",
@@ -141,8 +143,10 @@ def clean_float(t: Tables) -> DataFrame:
     "clean_date_multi",
     """
     WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
-    SELECT o_orderkey, CASE o_orderkey % 11
-             WHEN 5 THEN make_date(year(d), 1, 1) WHEN 9 THEN NULL ELSE d END AS cleaned
+    SELECT o_orderkey, CASE o_orderkey % 14
+             WHEN 5 THEN make_date(year(d), 1, 1)
+             WHEN 9 THEN CASE day(d) % 7 WHEN 4 THEN DATE '2400-01-01' WHEN 6 THEN DATE '1500-03-02' END
+             ELSE d END AS cleaned
     FROM d
     """,
 )
@@ -162,8 +166,11 @@ def clean_date_multi(t: Tables) -> DataFrame:
         F.date_format(day, "dd/MM/yy"),
         F.date_format(day, "yyyy/MM/dd"),
         F.concat_ws("-", year, month, dom),
-        _pick(dom, F.lit("s/d"), F.lit("31/02/2020"), F.lit("Sin dato"), F.lit(None), F.lit("2300-01-01"), F.lit("00/05/2020")),
+        _pick(dom, F.lit("s/d"), F.lit("31/02/2020"), F.lit("Sin dato"), F.lit(None), F.lit("2400-01-01"), F.lit("00/05/2020"), F.lit("02/03/1500")),
         F.concat(F.lit("\t"), F.concat_ws("/", dom, month, year), F.lit(" ")),
+        F.date_format(day, "yyyy-MM-dd 10:30:00"),
+        F.date_format(day, "yyyy-MM-dd'T'00:00:00.000'Z'"),
+        F.date_format(day, "dd/MM/yyyy 8:05"),
     )
     return t.orders.select("o_orderkey", fn.clean_date(raw).alias("cleaned"))
 
