@@ -59,6 +59,7 @@ def load_all() -> Registry:
         queries_cleaning,
         queries_dedupe,
         queries_quality,
+        queries_university,
         queries_warehouse,
     )
 
