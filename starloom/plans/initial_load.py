@@ -17,9 +17,12 @@ from starloom.plans import university as u
 from starloom.session import configure, materialize, scratch, settled, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
+    BROKEN_LINE,
     ROW_ID,
+    LineReport,
     academic_calendar,
     add_evaluation_date,
+    line_report,
     number_in_file_order,
     read_csv,
     source_report,
@@ -69,35 +72,41 @@ def check_sources(spark: SparkSession, folder: str) -> DataFrame:
     return source_report(spark, folder, files, list(u.STAGING_SCHEMAS))
 
 
-def read_source(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """One extract with ``row_id`` in file order."""
-    return number_in_file_order(read_csv(spark, f"{folder}/{source}.csv", u.SOURCE_COLUMNS[source]))
+def read_source(spark: SparkSession, folder: str, source: str, multi_line: bool = False) -> tuple[DataFrame, LineReport]:
+    """One extract with ``row_id`` in file order, and the count of its lines."""
+    columns = u.SOURCE_COLUMNS[source]
+    rows = number_in_file_order(read_csv(spark, f"{folder}/{source}.csv", columns, multi_line))
+    return rows.drop(BROKEN_LINE), line_report(rows, source, columns)
 
 
 def load_staging(
-    staging: TableStore, folder: str, loaded_at: dt.datetime, as_of: dt.date
+    staging: TableStore, folder: str, loaded_at: dt.datetime, as_of: dt.date, multi_line: bool = False
 ) -> DataFrame:
     """Replace every staging table by its extract; one report row per table.
 
     All extracts are read before anything is published, so a bad one leaves the
-    old staging in place.
+    old staging in place. ``multi_line`` is for extracts with line breaks inside
+    quotes. An extract without rows is reported and leaves its table as it is.
     """
     missing = check_sources(staging.spark, folder).where(~F.col("existe")).select("archivo").collect()
     if missing:
         raise MissingSources(", ".join(sorted(row.archivo for row in missing)))
 
-    def load(source: str) -> None:
-        rows = read_source(staging.spark, folder, source)
+    def load(source: str) -> tuple:
+        rows, lines = read_source(staging.spark, folder, source, multi_line)
+        table = u.staging_name(source)
+        if not lines.rows:
+            return table, 0, 0, False
         if source == "evaluacion_curso":
-            offerings = read_source(staging.spark, folder, "dictado")
+            offerings, _ = read_source(staging.spark, folder, "dictado", multi_line)
             calendar = academic_calendar(offerings, "id_dictado", "periodo", "anio_academico", [ROW_ID])
             rows = add_evaluation_date(rows, calendar, "id_dictado", as_of.isoformat())
-        staging.replace(u.staging_name(source), stage(rows, f"{source}.csv", F.lit(loaded_at)))
+        staging.replace(table, stage(rows, f"{source}.csv", F.lit(loaded_at)))
+        return table, lines.rows, lines.short, True
 
-    with scratch(staging.spark):
-        side_by_side([partial(load, source) for source in u.SOURCE_COLUMNS])
-    staging.publish()
-    return table_sizes(staging, [u.staging_name(source) for source in u.SOURCE_COLUMNS])
+    with staging.transaction(), scratch(staging.spark):
+        report = side_by_side([partial(load, source) for source in u.SOURCE_COLUMNS])
+    return staging.spark.createDataFrame(report, "tabla string, filas bigint, filas_cortas bigint, publicada boolean")
 
 
 def table_sizes(store: TableStore, tables: list[str]) -> DataFrame:
@@ -273,10 +282,11 @@ def run_full_load(
     audit_path: str,
     as_of: dt.date | None = None,
     began: dt.datetime | None = None,
+    multi_line: bool = False,
 ) -> LoadReport:
     """Extracts to warehouse in one call."""
     began = began or dt.datetime.now()
     as_of = as_of or began.date()
     staging, warehouse = open_staging(spark, staging_root), open_warehouse(spark, warehouse_root)
-    load_staging(staging, sources, began, as_of)
+    load_staging(staging, sources, began, as_of, multi_line)
     return load_warehouse(staging, warehouse, AuditLog(spark, audit_path), as_of, began)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,11 @@ NULL_ON_READ = (
     "null",
 )
 
-# Quotes inside quoted text are doubled, and header names must match the schema.
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
+# Quotes inside quoted text are doubled, and header names must match the schema. A
+# line with too few or too many fields is kept as text beside its columns.
+BROKEN_LINE = "_broken_line"
+_FORMAT = {"quote": '"', "escape": '"'}
+CSV_OPTIONS = {**_FORMAT, "header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN_LINE}
 
 RAW_SUFFIX = "_raw"
 ROW_ID, SOURCE_FILE, LOADED_AT = "row_id", "archivo_origen", "fecha_carga"
@@ -45,23 +49,58 @@ ROW_ID, SOURCE_FILE, LOADED_AT = "row_id", "archivo_origen", "fecha_carga"
 
 def blank_null_tokens(df: DataFrame) -> DataFrame:
     """Every null token of the text columns becomes null."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name != BROKEN_LINE]
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_ON_READ), F.col(c)) for c in texts})
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])
+    return StructType([StructField(c, StringType()) for c in [*columns, BROKEN_LINE]])
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
     """A comma CSV with header, all columns as text, in header order given by ``columns``.
 
     ``multi_line`` allows line breaks inside quotes, at the price of unsplittable files.
+    Lines with another number of fields are in ``BROKEN_LINE`` too; see ``line_report``.
     """
     raw = spark.read.csv(path, schema=text_schema(columns), multiLine=multi_line, **CSV_OPTIONS)
     return blank_null_tokens(raw)
 
 
+class BrokenSource(RuntimeError):
+    """Lines of an extract do not fit its columns, so reading on would lose values."""
+
+
+@dataclass(frozen=True)
+class LineReport:
+    rows: int
+    short: int
+
+
+def line_report(df: DataFrame, source: str, columns: Sequence[str]) -> LineReport:
+    """Count the written-down rows of ``read_csv`` and stop at lines that lost something.
+
+    A line with too many fields, or with an odd number of quotes (a line break inside
+    quotes, read without ``multi_line``), stops the load. Short lines are rows whose
+    last columns are null; they are kept and counted.
+    """
+    line = F.col(BROKEN_LINE)
+    wider = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
+    long = F.from_csv(line, wider, _FORMAT)[f"c{len(columns)}"].isNotNull()
+    open_quote = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    counts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(open_quote).alias("open"),
+        F.count_if(~open_quote & long).alias("long"),
+        F.count_if(line.isNotNull()).alias("broken"),
+    ).first()
+    if counts["open"]:
+        raise BrokenSource(f"{source}: {counts['open']} lines break inside quotes; read it with multi_line")
+    if counts["long"]:
+        raise BrokenSource(f"{source}: {counts['long']} lines have more than {len(columns)} fields")
+    return LineReport(counts["rows"], counts["broken"])
+
+
 def stage(df: DataFrame, source: str, loaded_at: Column) -> DataFrame:
     """Mark the business columns as raw and add where and when they came from.
 
@@ -84,8 +123,9 @@ def with_file_position(df: DataFrame) -> DataFrame:
 def number_positions(df: DataFrame, start: int = 1) -> DataFrame:
     """Dense ``row_id`` in file order for rows that carry their file and split.
 
-    The positions are written down first; then one offset per split is enough,
-    so rows are neither shuffled nor sorted.
+    The positions are written down first; then one offset per split is enough. The
+    offsets are written down as well, so that Spark knows how few they are and
+    broadcasts them: rows are neither shuffled nor sorted.
     """
     placed = materialize(df.withColumn("_position", F.monotonically_increasing_id()))
     splits = placed.groupBy("_file", "_block").agg(
@@ -93,6 +133,7 @@ def number_positions(df: DataFrame, start: int = 1) -> DataFrame:
     )
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    offsets = materialize(offsets)
     row_id = F.lit(start) + F.col("_offset") + F.col("_position") - F.col("_first")
     columns = [c for c in df.columns if c not in {"_file", "_block"}]
     return placed.join(offsets, ["_file", "_block"]).select(row_id.cast("bigint").alias(ROW_ID), *columns)

@@ -15,11 +15,13 @@ from starloom.plans.incremental import IncrementalReport, run_incremental
 from starloom.session import scratch
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
+    BROKEN_LINE,
     CSV_OPTIONS,
     ROW_ID,
     academic_calendar,
     add_evaluation_date,
     blank_null_tokens,
+    line_report,
     number_positions,
     stage,
     text_schema,
@@ -46,7 +48,9 @@ def _stage_batch(
 
 def _append_rows(staging: TableStore, source: str, rows: DataFrame, loaded_at: dt.datetime) -> None:
     table = u.staging_name(source)
-    numbered = number_positions(blank_null_tokens(rows), next_key(staging.read(table), ROW_ID))
+    read = number_positions(blank_null_tokens(rows), next_key(staging.read(table), ROW_ID))
+    line_report(read, source, u.SOURCE_COLUMNS[source])
+    numbered = read.drop(BROKEN_LINE)
     if source == "evaluacion_curso":
         calendar = academic_calendar(
             staging.read(u.staging_name("dictado")), "id_dictado_raw", "periodo_raw", "anio_academico_raw", [ROW_ID]
@@ -61,9 +65,14 @@ def ingest(
     checkpoints: str,
     source: str,
     now: Callable[[], dt.datetime] = dt.datetime.now,
+    multi_line: bool = False,
 ) -> StreamingQuery:
-    """Stage all files of ``landing/<source>/`` that no earlier run has seen."""
-    files = staging.spark.readStream.schema(text_schema(u.SOURCE_COLUMNS[source])).options(**CSV_OPTIONS)
+    """Stage all files of ``landing/<source>/`` that no earlier run has seen.
+
+    A file with lines that do not fit the columns stops the query, staging nothing
+    of its batch; ``multi_line`` allows line breaks inside quotes.
+    """
+    files = staging.spark.readStream.schema(text_schema(u.SOURCE_COLUMNS[source])).options(**CSV_OPTIONS, multiLine=multi_line)
     rows = with_file_position(files.csv(f"{landing}/{source}"))
     return (
         rows.writeStream.foreachBatch(

@@ -11,25 +11,66 @@ from pyspark.sql import functions as F
 
 from fixtures import make_rows, write_sources
 from starloom.plans import university as u
-from starloom.plans.initial_load import check_sources, load_warehouse, open_staging, open_warehouse
+from starloom.plans.initial_load import check_sources, load_staging, load_warehouse, open_staging, open_warehouse
+from starloom.session import materialize
 from starloom.sources.audit import AuditLog
-from starloom.sources.staging import number_in_file_order, read_csv, stage
+from starloom.sources.staging import BROKEN_LINE, BrokenSource, LineReport, line_report, number_in_file_order, read_csv, stage
 from starloom.sources.store import TableStore
-from starloom.streaming.landing import run_cycle, run_periodically
+from starloom.streaming.landing import ingest, run_cycle, run_periodically
 
 
 def test_csv_text_is_kept(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n"x, ""y""", 1 \nNA,none\nnull,\n007,n/a\n', encoding="utf-8")
-    got = read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"]).collect()
+    got = read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"]).drop(BROKEN_LINE).collect()
     assert [tuple(r) for r in got] == [('x, "y"', " 1 "), (None, "none"), (None, None), ("007", None)]
 
 
 def test_csv_with_line_breaks(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n"x\ny",1\n', encoding="utf-8")
-    got = read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"], multi_line=True).collect()
+    got = read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"], multi_line=True).drop(BROKEN_LINE).collect()
     assert [tuple(r) for r in got] == [("x\ny", "1")]
 
 
+def lines_of(spark, tmp_path, text, **options):
+    (tmp_path / "t.csv").write_text(text, encoding="utf-8")
+    return line_report(materialize(read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"], **options)), "t", ["a", "b"])
+
+
+def test_lines_that_do_not_fit(spark, tmp_path):
+    assert lines_of(spark, tmp_path, 'a,b\n1,2\n3\n"4, ""x""",5\n') == LineReport(3, 1)
+    assert lines_of(spark, tmp_path, 'a,b\n"x\ny",1\n', multi_line=True) == LineReport(1, 0)
+    assert lines_of(spark, tmp_path, "a,b\n") == LineReport(0, 0)
+    for text, why in (("a,b\n1,2,3\n4,5\n", "more than 2"), ('a,b\n"x\ny",1\n', "quotes"), ('a,b\n1,"x\ny"\n', "quotes")):
+        with pytest.raises(BrokenSource, match=why):
+            lines_of(spark, tmp_path, text)
+
+
+def test_broken_and_empty_extracts_leave_the_tables(spark, tmp_path):
+    staging, rows = open_staging(spark, str(tmp_path / "stg")), make_rows(students=10, enrollments=5, exams=5)
+    write_sources(tmp_path / "src", rows)
+    moment = (dt.datetime(2024, 1, 1), dt.date(2024, 1, 1))
+    load_staging(staging, str(tmp_path / "src"), *moment)
+    facultad = (tmp_path / "src" / "facultad.csv").read_text(encoding="utf-8")
+    (tmp_path / "src" / "facultad.csv").write_text(facultad.splitlines()[0] + "\n", encoding="utf-8")
+    report = {r.tabla: r for r in load_staging(staging, str(tmp_path / "src"), *moment).collect()}
+    assert not report["stg_facultad"].publicada and report["stg_programa"].publicada
+    assert staging.read("stg_facultad").count() == len(rows["facultad"])
+    (tmp_path / "src" / "facultad.csv").write_text(facultad + "1,2,3,4,5\n", encoding="utf-8")
+    before = staging.version()
+    with pytest.raises(BrokenSource):
+        load_staging(staging, str(tmp_path / "src"), *moment)
+    assert staging.version() == before and staging.read("stg_programa").count() == len(rows["programa"])
+
+
+def test_landing_a_broken_file_stages_nothing(spark, tmp_path):
+    staging = open_staging(spark, str(tmp_path / "stg"))
+    (tmp_path / "landing" / "curso_programa").mkdir(parents=True)
+    (tmp_path / "landing" / "curso_programa" / "f.csv").write_text("id_curso,id_programa\n1,2\n3,4,5\n", encoding="utf-8")
+    with pytest.raises(Exception, match="more than 2"):
+        ingest(staging, str(tmp_path / "landing"), str(tmp_path / "cp"), "curso_programa").awaitTermination()
+    assert staging.read("stg_curso_programa").isEmpty() and staging.version() == 0
+
+
 def test_csv_header_must_match(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,c\n1,2\n", encoding="utf-8")
     with pytest.raises(Exception, match="(?i)header"):
@@ -76,6 +117,45 @@ def test_store_publishes_all_or_nothing(spark, tmp_path):
         first.replace("unknown", spark.range(1))
 
 
+def test_transaction_forgets_everything_on_failure(spark, tmp_path, monkeypatch):
+    s = store(spark, tmp_path)
+    rows = lambda *keys: spark.createDataFrame([(k, "x") for k in keys], "k int, v string")
+    with s.transaction():
+        s.append("t", rows(1))
+    with pytest.raises(ZeroDivisionError), s.transaction():
+        s.append("t", rows(2))
+        s.replace("t", rows(3))
+        1 / 0
+    assert [r.k for r in s.read("t").collect()] == [1]
+    with monkeypatch.context() as patched:
+        patched.setattr(TableStore, "publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError), s.transaction():
+            s.append("t", rows(4))
+    with s.transaction():
+        s.append("t", rows(4))
+    assert sorted(r.k for r in s.read("t").collect()) == [1, 4]
+
+
+def test_rows_since_a_version_and_compaction(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for k in range(4):
+        s.append("t", spark.createDataFrame([(k, "x")], "k int, v string"))
+        s.publish()
+    other = store(spark, tmp_path)
+    assert other.version() == 4
+    for version, expected in ((None, [0, 1, 2, 3]), (0, [0, 1, 2, 3]), (2, [2, 3]), (4, [])):
+        assert sorted(r.k for r in other.read_since("t", version).collect()) == expected
+    s.append("t", spark.createDataFrame([(9, "x")], "k int, v string"))
+    s.publish()
+    assert other.read_since("t", 4).isEmpty()  # a store keeps to the state it has read
+    other.discard()
+    assert [r.k for r in other.read_since("t", 4).collect()] == [9]
+    assert not s.compact("t", 5) and s.compact("t", 4)
+    s.publish()
+    assert sorted(r.k for r in s.read("t").collect()) == [0, 1, 2, 3, 9]
+    assert len(s._folders("t")) == 1
+
+
 def test_store_rewrites_touched_parts_only(spark, tmp_path):
     s = store(spark, tmp_path)
     s.replace("p", spark.createDataFrame([(i, 2020 + i % 3) for i in range(30)], "k int, y int"))
