@@ -54,7 +54,12 @@ def blank_null_tokens(df: DataFrame) -> DataFrame:
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in [*columns, BROKEN_LINE]])
+    return StructType([StructField(c, StringType()) for c in columns])
+
+
+def line_schema(columns: Sequence[str]) -> StructType:
+    """The columns of an extract as they are read, with the text of lines that do not fit."""
+    return text_schema([*columns, BROKEN_LINE])
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
@@ -63,7 +68,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line:
     ``multi_line`` allows line breaks inside quotes, at the price of unsplittable files.
     Lines with another number of fields are in ``BROKEN_LINE`` too; see ``line_report``.
     """
-    raw = spark.read.csv(path, schema=text_schema(columns), multiLine=multi_line, **CSV_OPTIONS)
+    raw = spark.read.csv(path, schema=line_schema(columns), multiLine=multi_line, **CSV_OPTIONS)
     return blank_null_tokens(raw)
 
 

@@ -22,9 +22,9 @@ from starloom.sources.staging import (
     add_evaluation_date,
     blank_null_tokens,
     line_report,
+    line_schema,
     number_positions,
     stage,
-    text_schema,
     with_file_position,
 )
 from starloom.sources.store import TableStore
@@ -72,7 +72,7 @@ def ingest(
     A file with lines that do not fit the columns stops the query, staging nothing
     of its batch; ``multi_line`` allows line breaks inside quotes.
     """
-    files = staging.spark.readStream.schema(text_schema(u.SOURCE_COLUMNS[source])).options(**CSV_OPTIONS, multiLine=multi_line)
+    files = staging.spark.readStream.schema(line_schema(u.SOURCE_COLUMNS[source])).options(**CSV_OPTIONS, multiLine=multi_line)
     rows = with_file_position(files.csv(f"{landing}/{source}"))
     return (
         rows.writeStream.foreachBatch(
