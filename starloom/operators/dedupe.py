@@ -30,6 +30,11 @@ def keep_one(
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+def smallest_ids(df: DataFrame, group_by: Sequence[str], id_col: str) -> DataFrame:
+    """The canonical id of every group whose values are all known."""
+    return df.dropna(subset=[*group_by, id_col]).groupBy(*group_by).agg(F.min(id_col).alias(KEPT_ID))
+
+
 def _shared_groups(df: DataFrame, group_by: Sequence[str], id_col: str) -> DataFrame:
     """Groups that hold more than one id, with the smallest id."""
     return (

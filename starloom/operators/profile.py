@@ -19,8 +19,14 @@ def pattern_counts(df: DataFrame, column: str) -> DataFrame:
     return value_counts(masked, "pattern")
 
 
-def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct()
+def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
+    """The different values, or combinations of values, of columns."""
+    return df.select(*columns).distinct()
+
+
+def extremes(df: DataFrame, group: str, column: str) -> DataFrame:
+    """Smallest and largest value of a column, and rows, per value of another."""
+    return df.groupBy(group).agg(F.min(column).alias("smallest"), F.max(column).alias("largest"), F.count(F.lit(1)).alias("n"))
 
 
 def group_size_histogram(df: DataFrame, column: str) -> DataFrame:

@@ -44,6 +44,12 @@ def row_accounting(df: DataFrame, name: str, valid: Column, keys: Sequence[str])
     )
 
 
+def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """The number of rows of each named frame, as ``tabla`` and ``filas``."""
+    counts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("tabla"), "filas") for name, df in frames.items()]
+    return reduce(DataFrame.union, counts)
+
+
 def grand_total(report: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: the sum of counters over all rows of a report."""
     return report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in columns])

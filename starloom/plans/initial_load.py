@@ -110,10 +110,7 @@ def load_staging(
 
 
 def table_sizes(store: TableStore, tables: list[str]) -> DataFrame:
-    counts = [
-        store.read(t).agg(F.count(F.lit(1)).alias("filas")).select(F.lit(t).alias("tabla"), "filas") for t in tables
-    ]
-    return reduce(DataFrame.union, counts)
+    return quality.row_counts({t: store.read(t) for t in tables})
 
 
 def clean_all(staging: TableStore) -> dict[str, DataFrame]:

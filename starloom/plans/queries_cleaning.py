@@ -15,6 +15,7 @@ from starloom.operators import quality
 from starloom.operators.dedupe import keep_one
 from starloom.operators.joins import skew_safe_join
 from starloom.plans.registry import REGISTRY, Tables
+from starloom.plans.university import with_passed
 from starloom.sources.staging import blank_null_tokens, stage
 
 query = REGISTRY.query
@@ -237,19 +238,16 @@ def state_flags(t: Tables) -> DataFrame:
     """
     WITH r AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'APROBADO' WHEN 'R' THEN 'Desaprobado' END AS resultado
                FROM lineitem)
-    SELECT l_returnflag, coalesce(lower(resultado) = 'aprobado', FALSE) AS aprobado, count(*) AS n,
-           CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
-    FROM r GROUP BY ALL
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate,
+           coalesce(lower(resultado) = 'aprobado', FALSE) AS aprobado
+    FROM r
     """,
 )
 def passed_flag(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
     result = F.when(flag == "A", F.lit("APROBADO")).when(flag == "R", F.lit("Desaprobado"))
-    return (
-        t.lineitem.select("l_returnflag", "l_quantity", fn.matches_any(result, "aprobado").alias("aprobado"))
-        .groupBy("l_returnflag", "aprobado")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
-    )
+    marked = with_passed(t.lineitem.withColumn("resultado", result))
+    return marked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("l_shipdate"), "aprobado")
 
 
 @query(
@@ -452,3 +450,13 @@ def documented_codes(t: Tables) -> DataFrame:
         documented.passed_or_inferred(result, F.col("o_totalprice") / 50000).alias("passed"),
         documented.truncated_integer(price).alias("whole"),
     )
+
+
+@query(
+    "documented_scores",
+    """
+    SELECT event_id, coalesce(CAST(value AS DECIMAL(12,2)) BETWEEN 0 AND 10, FALSE) AS valid_score FROM events
+    """,
+)
+def documented_scores(t: Tables) -> DataFrame:
+    return t.events.select("event_id", documented.valid_score(F.col("value").cast("decimal(12,2)")).alias("valid_score"))

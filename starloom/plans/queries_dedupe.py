@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators import attempts, dedupe
+from starloom.operators import attempts, dedupe, profile
 from starloom.operators.cascade import (
     Cascade,
     CascadeColumns,
@@ -158,7 +158,7 @@ def detect_duplicates_clean(t: Tables) -> DataFrame:
     """,
 )
 def smallest_id_per_group(t: Tables) -> DataFrame:
-    return orders(t).groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("id_tomado"))
+    return dedupe.smallest_ids(orders(t), ["o_custkey", "o_orderdate"], "o_orderkey")
 
 
 @query("identity_remap", f"WITH {ORDER_SQL} SELECT * FROM remapped")
@@ -371,15 +371,14 @@ def pair_lookup(t: Tables) -> DataFrame:
     "complement_split",
     f"""
     WITH {PERSON_SQL}
-    SELECT o_custkey IN (SELECT id_repetido FROM person_map UNION SELECT id_tomado FROM person_map) AS touched,
-           count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
-    FROM orders GROUP BY ALL
+    SELECT o_orderkey, o_custkey IN (SELECT id_repetido FROM person_map UNION SELECT id_tomado FROM person_map) AS touched
+    FROM orders
     """,
 )
 def complement_split(t: Tables) -> DataFrame:
     touched, rest = split_matching(orders(t), attempts.touched_ids(person_map(t), "o_custkey"), ["o_custkey"])
     both = touched.withColumn("touched", F.lit(True)).unionByName(rest.withColumn("touched", F.lit(False)))
-    return both.groupBy("touched").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    return both.select("o_orderkey", "touched")
 
 
 @query(
@@ -392,4 +391,4 @@ def key_set_union(t: Tables) -> DataFrame:
 
 @query("distinct_pairs", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
 def distinct_pairs(t: Tables) -> DataFrame:
-    return t.lineitem.select(*PAIR).distinct()
+    return profile.distinct_values(t.lineitem, *PAIR)

@@ -188,7 +188,7 @@ def null_token_count(t: Tables) -> DataFrame:
     )
 
 
-CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"}
+CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
 @query(
@@ -201,7 +201,7 @@ CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int
     ),
 )
 def column_profile(t: Tables) -> DataFrame:
-    return profile.column_profile(t.customer.select(*CUSTOMER_TYPES))
+    return profile.column_profile(t.customer)
 
 
 @query(
@@ -212,6 +212,4 @@ def column_profile(t: Tables) -> DataFrame:
     """,
 )
 def grade_by_result(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("resultado")).agg(
-        F.min("l_quantity").alias("smallest"), F.max("l_quantity").alias("largest"), F.count(F.lit(1)).alias("n")
-    )
+    return profile.extremes(t.lineitem.withColumnRenamed("l_returnflag", "resultado"), "resultado", "l_quantity")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom import functions as fn
-from starloom.operators import dimensions, facts, keys, merge, scd, watermark
+from starloom.operators import dimensions, facts, keys, merge, quality, scd, watermark
 from starloom.operators.dedupe import keep_one
 from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.plans.queries_cleaning import KEY_SQL, MONTHS_SQL, PERIOD_SQL
@@ -145,11 +145,7 @@ def assign_in_turn(t: Tables) -> DataFrame:
     f"SELECT '{n}' AS tabla, count(*) AS filas FROM {n}" for n in ("customer", "orders", "lineitem", "events")
 ))
 def table_counts(t: Tables) -> DataFrame:
-    counts = [
-        getattr(t, n).agg(F.count(F.lit(1)).alias("filas")).select(F.lit(n).alias("tabla"), "filas")
-        for n in ("customer", "orders", "lineitem", "events")
-    ]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return quality.row_counts({n: getattr(t, n) for n in ("customer", "orders", "lineitem", "events")})
 
 
 def _student_map(t: Tables) -> DataFrame:
