@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -41,6 +43,13 @@ def share(spark: SparkSession, value: object) -> Broadcast:
     return ship(spark).sparkContext.broadcast(value)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers wait idle beside the JVM between batches and tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_slices(work: Callable[[pa.Array], pa.Array], returns: str, prepare: Callable[[pa.Array], Iterator[pa.Array]]):
     """An Arrow function of one column that sees a batch in the runs that ``prepare`` makes of it."""
 
@@ -49,6 +58,8 @@ def by_slices(work: Callable[[pa.Array], pa.Array], returns: str, prepare: Calla
         for batch in batches:
             parts = [work(part) for part in prepare(batch)]
             yield pa.concat_arrays(parts) if parts else work(batch.slice(0, 0))
+            del parts
+            release()
 
     return column
 
@@ -59,7 +70,7 @@ def struct_array(**fields: pa.Array) -> pa.StructArray:
 
 def with_struct(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     """The frame with the fields of a struct column; columns it had under these names are replaced."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     return df.select(*kept, made.alias("_made")).select(*kept, *[F.col(f"_made.{n}").alias(n) for n in names])
 
 

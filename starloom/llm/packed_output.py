@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.columns import ship
+from starloom.llm.columns import release, ship
 from starloom.llm.token_ids import word_tokenizer
 from starloom.llm.words import slices
 
@@ -148,6 +148,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int,
                     window, held = [], 0
                 if len(out) >= OUTPUT_ROWS:
                     yield flush()
+        release()
     for row in packer.pack(window, last=True):
         finish(row)
         if len(out) >= OUTPUT_ROWS:

@@ -239,11 +239,14 @@ def fit(labelled: DataFrame, url: str = "url", key: str = "url", label: str = "v
 
 def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", key: str = "url", rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (the trees' chance of block) to every row."""
-    kept = [c for c in df.columns if c not in RESULTS]
+    kept = [c for c in df.columns if c.lower() not in RESULTS]
     host, path = split_url(F.col(url))
-    ruled = df.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path")).withColumn("_rule", fitting_rule(rules))
-    model = fit(ruled.withColumn("verdict", F.col("_rule.verdict")), url, key, "verdict", rows_per_label)
-    scored = _featured(ruled, url, model.suffixes).withColumn("score", 1 / (1 + F.exp(-_margin(model.bias, model.trees))))
+    # The row itself travels as one column, so its names cannot meet those of the features.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    parts = df.select(row, F.col(url).alias("_url"), F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
+    ruled = parts.withColumn("_rule", fitting_rule(rules))
+    model = fit(ruled.withColumn("verdict", F.col("_rule.verdict")), "_url", "_key", "verdict", rows_per_label)
+    scored = _featured(ruled, "_url", model.suffixes).withColumn("score", 1 / (1 + F.exp(-_margin(model.bias, model.trees))))
     learned = F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW)
     verdict = F.coalesce(F.col("_rule.verdict"), learned)
-    return scored.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return scored.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")

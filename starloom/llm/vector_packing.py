@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.columns import ship
+from starloom.llm.columns import release, ship
 from starloom.llm.token_ids import word_tokenizer
 from starloom.llm.words import slices, texts_of
 
@@ -166,6 +166,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int,
                 emit(packer.sequence())
             if held >= OUTPUT_BYTES:
                 yield flush()
+        release()
     while len(packer.free) < POOL:
         emit(packer.sequence())
         if held >= OUTPUT_BYTES:

@@ -176,9 +176,9 @@ URLS = {
 
 
 def test_rules_hosts_and_paths(spark):
-    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate([*URLS, *URLS])], "page_id bigint, url string, rule string")
+    df = spark.createDataFrame([(i, u, "old", "x") for i, u in enumerate([*URLS, *URLS])], "page_id bigint, url string, Rule string, entropy string")
     found = url_filter.judge(df, RULES, "url", "page_id")
-    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict", "score"] and found.count() == 2 * len(URLS)
+    assert found.columns == ["page_id", "url", "entropy", "host", "path", "rule", "verdict", "score"] and found.count() == 2 * len(URLS)
     for r in found.collect():
         host, path, rule, verdict = URLS[r.url]
         assert (r.host, r.path, r.rule) == (host, path, rule), r.url
