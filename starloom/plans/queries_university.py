@@ -391,6 +391,21 @@ def build_fact_evaluacion(t: Tables) -> DataFrame:
     return u.evaluation_fact(u.ENTITIES["evaluaciones"].clean(evaluations(t)), offering_keys(t))
 
 
+@query(
+    "build_fact_evaluacion_once",
+    f"""
+    WITH d AS ({OFFERINGS_SQL}), v AS ({EVALUATIONS_SQL})
+    SELECT id_dictado + 7000000 AS "dictadoSKey", {DATE_KEY_SQL.format("fecha_evaluacion")} AS "tiempoSKey", puntaje_dictado AS "notaDictado",
+           puntaje_contenido AS "notaCont", valoracion_general AS "notaGeneral"
+    FROM v SEMI JOIN d USING (id_dictado)
+    QUALIFY row_number() OVER (PARTITION BY id_dictado, fecha_evaluacion ORDER BY id_evaluacion) = 1
+    """,
+)
+def build_fact_evaluacion_once(t: Tables) -> DataFrame:
+    clean = u.ENTITIES["evaluaciones"].clean(evaluations(t))
+    return u.evaluation_fact(clean, offering_keys(t), once_per=["dictadoSKey", "tiempoSKey"])
+
+
 def changed_students(t: Tables) -> DataFrame:
     """A delta: some programmes and genders differ from the stored ones, some students are new."""
     key = F.col("idalumno")

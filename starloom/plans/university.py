@@ -452,12 +452,19 @@ def exam_fact(owned: DataFrame) -> DataFrame:
     return last.select("alumnoSKey", "tiempoSKey", "dictadoSKey", "nota", "nroIntentos", "aprobado")
 
 
-def evaluation_fact(evaluations: DataFrame, offerings: facts.KeyLookup) -> DataFrame:
-    """One row per evaluation; equal rows are different anonymous answers."""
+def evaluation_fact(evaluations: DataFrame, offerings: facts.KeyLookup, once_per: Sequence[str] = ()) -> DataFrame:
+    """One row per evaluation; equal rows are different anonymous answers.
+
+    With ``once_per`` (such as ``dictadoSKey``, ``tiempoSKey``) the first evaluation
+    per combination of these columns is kept, for sources that repeat answers.
+    """
     resolved = facts.resolve_keys(
         evaluations.withColumn("tiempoSKey", fn.date_key(F.col("fecha_evaluacion"))), [offerings]
     )
-    return facts.with_all_keys(resolved, ["dictadoSKey", "tiempoSKey"]).select(
+    found = facts.with_all_keys(resolved, ["dictadoSKey", "tiempoSKey"])
+    if once_per:
+        found = keep_one(found, once_per, ["id_evaluacion"])
+    return found.select(
         "dictadoSKey",
         "tiempoSKey",
         F.col("puntaje_dictado").alias("notaDictado"),
