@@ -15,6 +15,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 # Target shares of the mix; with every document kept, the others are repeated up to them.
 WEIGHTS = {"en": 0.50, "de": 0.18, "es": 0.14, "fr": 0.18}
 
+# Near duplicates share this part of their runs in percent. Bands of six values let a pair at 0.80
+# share none of the 48 with probability (1 - 0.80^6)^48 < 5e-7.
+SIMILAR_PERCENT, PER_BAND = 80, 6
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the language can be told."""
@@ -33,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    found = near_duplicates.find(docs, "doc_id", "text")
+    found = near_duplicates.find(docs, "doc_id", "text", SIMILAR_PERCENT, PER_BAND)
     return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 

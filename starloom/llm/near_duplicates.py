@@ -14,7 +14,8 @@ that share a band of the signature are candidates, and the components of the
 candidate graph cut the classes into clusters. Inside a cluster, blocks of bounded
 size are compared with each other by one matrix product on their full sets, and
 only a spanning forest of the links leaves a task. No bucket is capped. A link of
-similarity 0.85 shares no band with probability (1 - 0.85^8)^48 < 3e-7.
+similarity 0.85 shares no band with probability (1 - 0.85^8)^48 < 3e-7. For a lower
+``percent`` narrower bands keep that chance: (1 - 0.80^6)^48 < 5e-7 at 0.80.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ COLUMNS = 4_096
 RUN_BYTES = 3_000_000
 
 
-def _sketch(texts: pa.Array) -> pa.Array:
+def _sketch(texts: pa.Array, per_band: int) -> pa.Array:
     elements, counts = shingle_sets(texts)
-    keys = band_keys(signatures(elements, counts, BANDS * PER_BAND), BANDS, PER_BAND).view(np.int64)
+    keys = band_keys(signatures(elements, counts, BANDS * per_band), BANDS, per_band).view(np.int64)
     digests = [group_sums(mixed(elements ^ np.uint64(salt)), counts).view(np.int64) for salt in (0x1F83D9AB, 0x5BE0CD19)]
     offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS)
     return struct_array(
@@ -141,12 +142,15 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``key``, ``n_shingles``, ``id_tomado`` and ``kept`` (the id is the one taken)."""
+def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent: int = PERCENT, per_band: int = PER_BAND) -> DataFrame:
+    """One row per input row: ``key``, ``n_shingles``, ``id_tomado`` and ``kept`` (the id is the one taken).
+
+    ``per_band`` values make a band: the fewer, the less similar are the pairs that still share one.
+    """
     ship(df.sparkSession)
     runs_of_text = partial(slices, most=RUN_BYTES)
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    sketch = by_slices(_sketch, "n_shingles bigint, digest bigint, digest2 bigint, bands array<bigint>", runs_of_text)
+    sketch = by_slices(partial(_sketch, per_band=per_band), "n_shingles bigint, digest bigint, digest2 bigint, bands array<bigint>", runs_of_text)
     sketches = materialize(rows.select("key", sketch(F.col("text")).alias("s")).select("key", "s.*"))
 
     equal = ["digest", "digest2", "n_shingles"]
