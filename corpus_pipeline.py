@@ -35,20 +35,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_model.predict(docs, model, "text").where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def with_document(docs: DataFrame) -> DataFrame:
+    """Add ``_document``, a 64-bit hash of id and text: rows that repeat both are one document."""
+    return docs.withColumn("_document", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = near_duplicates.find(docs, "doc_id", "text", SIMILAR_PERCENT, PER_BAND)
-    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that repeat id and text are one document and come out once. Different texts of one id are
+    documents of their own. Rows with a null id are in no group and stay as they are.
+    """
+    named = with_document(docs.where(F.col("doc_id").isNotNull()))
+    found = near_duplicates.find(named, "_document", "text", SIMILAR_PERCENT, PER_BAND, also=["doc_id"])
+    first = found.groupBy("id_tomado").agg(F.min(F.struct("doc_id", "_document")).alias("first")).select("first._document")
+    # Repeated rows go before the shuffle, which serves the join as well.
+    kept = named.dropDuplicates(["_document"]).join(first, "_document", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, and as often as the language weights ask for."""
-    labels = table(spark, sf_dir, "labels")
-    model = mixing.fit(docs, labelled_languages(docs, labels), "text", "lang", "doc_id")
-    mixed = mixing.mix(docs, model, present(WEIGHTS, model), "doc_id", "text", keep_all=True)
-    more = mixed.where(F.col("copies") > 1).select("doc_id", "copies")
+    """Every row at least once, and as often as the language weights ask for; rows that repeat id and text each alike."""
+    labelled = labelled_languages(docs, table(spark, sf_dir, "labels")).distinct()
+    model = mixing.fit(docs, labelled, "text", "lang", "doc_id")
+    named = with_document(docs)
+    mixed = mixing.mix(named, model, present(WEIGHTS, model), "doc_id", "text", keep_all=True, also=["_document"])
+    more = mixed.where(F.col("copies") > 1).groupBy("_document").agg(F.max("copies").alias("copies"))
     copies = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
-    return docs.join(more, "doc_id", "left").withColumn("_copy", copies).select(*docs.columns)
+    return named.join(more, "_document", "left").withColumn("_copy", copies).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

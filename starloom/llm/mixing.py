@@ -17,7 +17,7 @@ labelled row there is no domain, and every rate is 1.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,9 +76,9 @@ def fit(rows: DataFrame, labelled: DataFrame, text: str = "nombre_raw", domain:
     return DomainModel(domains, [math.log(counts[d] / total) for d in domains], weights)
 
 
-def posteriors(df: DataFrame, model: DomainModel, key: str = "row_id", text: str = "nombre_raw") -> DataFrame:
-    """``key``, ``tokens`` and the array ``posterior`` of every whole text."""
-    split = df.select(F.col(key).alias(key), F.transform(words(F.col(text)), _bucket).alias("_buckets"))
+def posteriors(df: DataFrame, model: DomainModel, key: str = "row_id", text: str = "nombre_raw", also: Sequence[str] = ()) -> DataFrame:
+    """``key``, the columns ``also``, ``tokens`` and the array ``posterior`` of every whole text."""
+    split = df.select(F.col(key).alias(key), *also, F.transform(words(F.col(text)), _bucket).alias("_buckets"))
     count = F.size("_buckets").cast("double")
     scale = F.least(count, F.lit(EVIDENCE_WORDS)) / F.greatest(count, F.lit(1.0))
 
@@ -87,12 +87,12 @@ def posteriors(df: DataFrame, model: DomainModel, key: str = "row_id", text: str
         summed = F.aggregate("_buckets", F.lit(0.0), lambda total, b: total + F.element_at(weights, b + 1))
         return (F.lit(model.prior[k]) + summed * scale).alias(f"_e{k}")
 
-    logs = split.select(key, count.alias("tokens"), *[evidence(k) for k in range(len(model.domains))])
+    logs = split.select(key, *also, count.alias("tokens"), *[evidence(k) for k in range(len(model.domains))])
     names = [f"_e{k}" for k in range(len(model.domains))]
     most = F.greatest(*names) if len(names) > 1 else F.col(names[0]) if names else F.lit(0.0)
-    lifted = logs.select(key, "tokens", *[F.exp(F.col(n) - most).alias(n) for n in names])
+    lifted = logs.select(key, *also, "tokens", *[F.exp(F.col(n) - most).alias(n) for n in names])
     whole = sum((F.col(n) for n in names), F.lit(0.0))
-    return lifted.select(key, "tokens", F.array(*[F.col(n) / whole for n in names]).cast("array<double>").alias("posterior"))
+    return lifted.select(key, *also, "tokens", F.array(*[F.col(n) / whole for n in names]).cast("array<double>").alias("posterior"))
 
 
 def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
@@ -163,6 +163,7 @@ def mix(
     text: str = "nombre_raw",
     budget: float | None = None,
     keep_all: bool = False,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: key, ``tokens``, ``posterior``, ``domain`` (the likeliest), ``rate`` and ``copies``.
 
@@ -170,8 +171,9 @@ def mix(
     as many as there are; with ``keep_all`` as many as spare every domain). A row is
     in the mix ``copies`` times: its rate rounded up with the chance of the
     fraction, by the hash of its key. With ``keep_all`` that is at least once.
+    Columns named in ``also`` are carried along.
     """
-    members = materialize(posteriors(df, model, key, text))
+    members = materialize(posteriors(df, model, key, text, also))
     if not model.domains or not weights:
         members = members.withColumn("rate", F.lit(1.0))
     else:

@@ -20,7 +20,7 @@ similarity 0.85 shares no band with probability (1 - 0.85^8)^48 < 3e-7. For a lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 from itertools import groupby
 
@@ -142,16 +142,24 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent: int = PERCENT, per_band: int = PER_BAND) -> DataFrame:
+def find(
+    df: DataFrame,
+    key: str = "row_id",
+    text: str = "nombre_raw",
+    percent: int = PERCENT,
+    per_band: int = PER_BAND,
+    also: Sequence[str] = (),
+) -> DataFrame:
     """One row per input row: ``key``, ``n_shingles``, ``id_tomado`` and ``kept`` (the id is the one taken).
 
     ``per_band`` values make a band: the fewer, the less similar are the pairs that still share one.
+    Columns named in ``also`` are carried along.
     """
     ship(df.sparkSession)
     runs_of_text = partial(slices, most=RUN_BYTES)
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), *also)
     sketch = by_slices(partial(_sketch, per_band=per_band), "n_shingles bigint, digest bigint, digest2 bigint, bands array<bigint>", runs_of_text)
-    sketches = materialize(rows.select("key", sketch(F.col("text")).alias("s")).select("key", "s.*"))
+    sketches = materialize(rows.select("key", *also, sketch(F.col("text")).alias("s")).select("key", *also, "s.*"))
 
     equal = ["digest", "digest2", "n_shingles"]
     filled = sketches.where("n_shingles > 0 and key is not null")
@@ -162,7 +170,7 @@ def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent:
     members = members.unionByName(clusters.select(F.col("b").alias("key"), F.col("b").alias("cluster")).distinct())
     placed = _in_blocks(members.join(first.select("key", "n_shingles").distinct(), "key"))
 
-    texts = rows.join(members.select("key"), "key", "left_semi").distinct()
+    texts = rows.select("key", "text").join(members.select("key"), "key", "left_semi").distinct()
     runs = materialize(texts.select("key", by_slices(_sets, "binary", runs_of_text)(F.col("text")).alias("runs")))
     groups = placed.join(runs, "key").select("cluster", "first", "second", "block", "key", "runs")
     dealt = groups.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "key")
@@ -174,7 +182,7 @@ def find(df: DataFrame, key: str = "row_id", text: str = "nombre_raw", percent:
     return (
         sketches.drop("bands")
         .join(resolved, equal, "left")
-        .select("key", "n_shingles", F.coalesce(own, "key").alias("id_tomado"))
+        .select("key", *also, "n_shingles", F.coalesce(own, "key").alias("id_tomado"))
         .withColumn("kept", F.coalesce(F.col("key") == F.col("id_tomado"), F.lit(True)))
         .withColumnRenamed("key", key)
     )

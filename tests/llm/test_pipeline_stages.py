@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
-from llm.staged import ENGLISH, sentence
+from llm.staged import ENGLISH, SPANISH, sentence
 from llm.test_groups import runs
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -39,3 +40,33 @@ def test_near_duplicates_from_four_fifths_on(spark):
         kept |= {2 * group} if group % 2 else {2 * group, 2 * group + 1}
     found = corpus_pipeline.near_duplicate_stage(spark, documents(spark, rows), "")
     assert sorted(r.doc_id for r in found.collect()) == sorted(kept)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (sentence(rng, WIDE, 150) for _ in range(4))
+    near_a, near_b = changed(a, (20, 70)), changed(b, (30,))
+    rows = [(5, a)] * 7 + [(9, near_a)] * 3  # a batch that came again
+    rows += [(20, near_b), (30, b), (30, c), (40, changed(c, (60,)))]  # two texts of 30, each in a group of its own
+    rows += [(50, d), (50, changed(d, (80,)))] + [(60, None)] * 2 + [(None, a)] * 2
+    found = corpus_pipeline.near_duplicate_stage(spark, documents(spark, rows).repartition(5), "")
+    got = [(r.doc_id, r.text) for r in found.collect()]
+    fifty = next(t for i, t in got if i == 50)
+    assert fifty in (d, changed(d, (80,)))
+    expected = [(5, a), (20, near_b), (30, c), (50, fifty), (60, None), (None, a), (None, a)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_mixing_of_repeated_ids(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, WIDE, 60), "en") for i in range(80)] + [(100 + i, sentence(rng, SPANISH, 30), "es") for i in range(10)]
+    rows += [rows[-1]] * 6 + [(None, rows[-2][1], "es")] * 2
+    docs = spark.createDataFrame([(i, t, lang, "web", len(t)) for i, t, lang in rows], DOCUMENTS)
+    docs.where("doc_id is not null").select("doc_id").distinct().write.parquet(str(tmp_path / "labels.parquet"))
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+    given = Counter((i, t) for i, t, _ in rows)
+    assert mixed.keys() == given.keys()
+    # Alike documents differ by one copy at most, repeated rows and rows without an id included.
+    copies = {k: mixed[k] / given[k] for k in given}
+    spanish = [copies[(i, t)] for i, t, lang in rows if lang == "es"]
+    assert all(c == int(c) for c in copies.values()) and max(spanish) - min(spanish) <= 1 and min(spanish) > 1
