@@ -40,6 +40,7 @@ NULL_ON_READ = (
 # Quotes inside quoted text are doubled, and header names must match the schema. A
 # line with too few or too many fields is kept as text beside its columns.
 BROKEN_LINE = "_broken_line"
+LINE_END = "\ue000end of line"
 _FORMAT = {"quote": '"', "escape": '"'}
 CSV_OPTIONS = {**_FORMAT, "header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN_LINE}
 
@@ -90,8 +91,10 @@ def line_report(df: DataFrame, source: str, columns: Sequence[str]) -> LineRepor
     last columns are null; they are kept and counted.
     """
     line = F.col(BROKEN_LINE)
-    wider = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
-    long = F.from_csv(line, wider, _FORMAT)[f"c{len(columns)}"].isNotNull()
+    names = [f"c{i}" for i in range(len(columns) + 1)]
+    # Empty fields read as null, so one field more is added: it lies among the first only if no other is too many.
+    fields = F.from_csv(F.concat(line, F.lit("," + LINE_END)), ", ".join(f"{c} string" for c in names), _FORMAT)
+    long = line.isNotNull() & ~F.exists(F.array(*[fields[c] for c in names]), lambda f: f.eqNullSafe(F.lit(LINE_END)))
     open_quote = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -45,6 +45,12 @@ def test_lines_that_do_not_fit(spark, tmp_path):
             lines_of(spark, tmp_path, text)
 
 
+@pytest.mark.parametrize("line", ["1,2,", "1,2,,", "1,2,,4", '"1",,""', "1,,,,5", ",,"])
+def test_surplus_fields_may_be_empty(spark, tmp_path, line):
+    with pytest.raises(BrokenSource, match="1 lines have more than 2"):
+        lines_of(spark, tmp_path, f"a,b\n4,5\n{line}\n6\n")
+
+
 def test_broken_and_empty_extracts_leave_the_tables(spark, tmp_path):
     staging, rows = open_staging(spark, str(tmp_path / "stg")), make_rows(students=10, enrollments=5, exams=5)
     write_sources(tmp_path / "src", rows)
