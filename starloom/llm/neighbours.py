@@ -248,14 +248,15 @@ def search(
         return spark.createDataFrame([], RESULT)
     size, total = lengths["n"], lengths["count"]
     of_size = lambda rows: sound(rows).where(F.size("v") == size).select("key", pack(F.col("v")).alias("vector"))
-    vectors = materialize(of_size(df))
+    # Rows that repeat an id are told apart by a number, so that samples and blocks keep their bounds.
+    vectors = materialize(of_size(df).withColumn("row", F.monotonically_increasing_id()))
     share_ = min(1.0, min(SAMPLE_ROWS, SAMPLE_NUMBERS / size) / total)
-    sample = vectors.where(F.pmod(F.xxhash64(F.lit("tree"), F.col("key")), F.lit(1 << 30)) < share_ * (1 << 30)).select("key", "vector").toArrow()
+    sample = vectors.where(F.pmod(F.xxhash64(F.lit("tree"), "key", "row"), F.lit(1 << 30)) < share_ * (1 << 30)).select("key", "vector").toArrow()
     sample = sample.sort_by("key")
     rows = _matrix(sample.column("vector").to_pylist()) if len(sample) else np.ones((1, size))
     tree = fit_tree(_unit(rows), leaves=int(total**0.5))
     leaf = by_slices(partial(_leaves, shared=share(spark, tree)), "int", lambda batch: iter([batch]))
-    placed = materialize(vectors.select("key", "vector", leaf(F.col("vector")).alias("leaf")))
+    placed = materialize(vectors.select("key", "row", "vector", leaf(F.col("vector")).alias("leaf")))
     sizes = np.zeros(len(tree.leaf), dtype=np.int64)
     for row in placed.groupBy("leaf").count().collect():
         sizes[row["leaf"]] = row["count"]
@@ -271,11 +272,11 @@ def search(
     # Both tables have one entry per leaf, which the sample bounds.
     row_blocks = F.element_at(F.array(*[F.lit(int(max(1, -(-n // BLOCK_ROWS)))) for n in sizes]), F.col("leaf") + 1)
     query_blocks = F.element_at(F.array(*[F.lit(int(max(1, -(-n // BLOCK_QUERIES)))) for n in callers]), F.col("leaf") + 1)
-    own_block = lambda blocks: F.pmod(F.xxhash64("key"), blocks).cast("int")
+    own_block = lambda blocks, *by: F.pmod(F.xxhash64(*by), blocks).cast("int")
     every_block = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     cells = ["leaf", "row_block", "query_block"]
-    right = placed.select("leaf", own_block(row_blocks).alias("row_block"), every_block(query_blocks).alias("query_block"), F.lit(1).alias("side"), "key", "vector")
-    left = visiting.select("leaf", every_block(row_blocks).alias("row_block"), own_block(query_blocks).alias("query_block"), F.lit(0).alias("side"), "key", "vector")
+    right = placed.select("leaf", own_block(row_blocks, "key", "row").alias("row_block"), every_block(query_blocks).alias("query_block"), F.lit(1).alias("side"), "key", "vector")
+    left = visiting.select("leaf", every_block(row_blocks).alias("row_block"), own_block(query_blocks, "key").alias("query_block"), F.lit(0).alias("side"), "key", "vector")
     met = left.unionByName(right).repartition(*cells).sortWithinPartitions(*cells, "side", "key")
     found = met.mapInArrow(partial(_meet_task, k=k), "query_id bigint, neighbour_id bigint, score double")
     return _best(found, k, "neighbour_id").select("query_id", "rank", "neighbour_id", "score")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +268,28 @@ def test_mixing_odd_and_empty_tables(spark):
     assert mixing.mix(df.limit(0), model, {"grado": 1.0}).isEmpty()
     with pytest.raises(ValueError):
         mixing.mix(df, model, {"posgrado": 1.0})
+
+
+def test_repeated_ids_keep_samples_and_blocks_small(spark, monkeypatch):
+    rows = [(7, [1.0, 2.0, 3.0])] * 400 + [(0, [1.0, 2.0, 3.5])]
+    df = spark.createDataFrame(rows, "id_evaluacion bigint, puntajes array<double>").repartition(4)
+    drawn = []
+
+    def fit_tree(unit, leaves, fit=neighbours.fit_tree):
+        drawn.append(len(unit))
+        return fit(unit, leaves)
+
+    def cell_sizes(batches, k):
+        sizes = Counter()
+        for batch in batches:
+            leaf, row, query, side = (batch.column(i).to_pylist() for i in range(4))
+            sizes.update(cell for cell, s in zip(zip(leaf, row, query, strict=True), side, strict=True) if s == 1)
+        n = list(sizes.values())
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(n, pa.float64())], ["query_id", "neighbour_id", "score"])
+
+    monkeypatch.setattr(neighbours, "fit_tree", fit_tree)
+    monkeypatch.setattr(neighbours, "_meet_task", cell_sizes)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    largest = neighbours.search(df, df.where("id_evaluacion = 0")).where("rank = 1").first().score
+    assert 20 <= drawn[0] <= 120 and largest <= 40
