@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -68,10 +68,19 @@ def struct_array(**fields: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(fields.values()), list(fields))
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """A name like the given one that no column has, whatever its case."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def with_struct(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     """The frame with the fields of a struct column; columns it had under these names are replaced."""
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    return df.select(*kept, made.alias("_made")).select(*kept, *[F.col(f"_made.{n}").alias(n) for n in names])
+    held = unused(df.columns, "_made")
+    return df.select(*kept, made.alias(held)).select(*kept, *[F.col(f"{held}.{n}").alias(n) for n in names])
 
 
 def sample_by_label(df: DataFrame, label: str, key: str, most: int) -> tuple[DataFrame, dict]:

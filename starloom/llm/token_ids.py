@@ -2,7 +2,8 @@
 
 The ids of a text are put together from those of its words in order. Words
 repeat: a Python worker encodes each word once and numpy does the rest. The
-memory of words is bounded and starts anew when ``MOST_WORDS`` are in it.
+memory of words is bounded: it starts anew, with the words at hand, when new
+words would take it beyond ``MOST_WORDS``.
 """
 
 from __future__ import annotations
@@ -53,9 +54,11 @@ class WordMemory:
     def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         distinct = words.distinct.to_pylist()
-        if len(self.codes) + len(distinct) > MOST_WORDS:
+        new = [w for w in distinct if w not in self.codes]
+        if len(self.codes) + len(new) > MOST_WORDS and self.codes:
             self._clear()
-        if new := [w for w in distinct if w not in self.codes]:
+            new = distinct
+        if new:
             self._learn(new)
         own = np.fromiter(map(self.codes.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         starts, lengths = self.starts[own][words.codes], self.lengths[own][words.codes]
