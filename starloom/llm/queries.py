@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fertility, language, mixing, near_duplicates, neighbours, packed_output, quality_model, token_counts, url_filter, vector_packing
+from starloom.llm import chat_format, fertility, language, mixing, near_duplicates, neighbours, packed_output, quality_model, token_counts, url_filter, vector_packing
 from starloom.session import configure, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,38 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     model = quality_model.fit(documents, labels.where(remainder("doc_id", 5) != 0), "text", "quality", "doc_id")
     return quality_model.predict(documents, model, "text").select("doc_id", "held_out", "score", "predicted")
+
+
+# Texts that look like the marks of a template, as a conversation of their own.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+@query
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)], conversations.schema)
+    columns = ("conv_id", "turn", "role", "text")
+    formatted = chat_format.format_turns(conversations.unionByName(marked), *columns, template=chat_format.CHAT)
+    return chat_format.digest(formatted, "conv_id", chat_format.CHAT)
+
+
+def _escaped_sql(column: str) -> str:
+    """A text with the backslashes that the template puts in."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for mark in chat_format.CHAT.marks:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+SQL["op12_chat_format"] = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '{MARKED}' UNION ALL SELECT -1, 1, 'assistant', '{MARKED}'),
+    o AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM t
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    e AS (SELECT *, length({_escaped_sql("text")}) AS body, {len("[INST]" "[/INST]" "</s>")} + length({_escaped_sql("role")}) AS head FROM o)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+           cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           cast(sum(body + CASE WHEN before IS DISTINCT FROM role THEN head ELSE {len("[NEXT]")} END) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+"""
