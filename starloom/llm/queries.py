@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm import chat_format, fertility, language, mixing, near_duplicates, neighbours, packed_output, quality_model, token_counts, url_filter, vector_packing
-from starloom.session import configure, new_folder
+from starloom.llm import chat_format, fertility, language, mixing, near_duplicates, neighbours, packed_output, prefix_trie, quality_model, token_counts, url_filter, vector_packing
+from starloom.session import configure, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,3 +187,34 @@ SQL["op12_chat_format"] = f"""
            cast(sum(body + CASE WHEN before IS DISTINCT FROM role THEN head ELSE {len("[NEXT]")} END) AS BIGINT) AS formatted_chars
     FROM e GROUP BY conv_id
 """
+
+
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coded turns of the rebuilt conversations, and the ids of all of them.
+
+    The first ``h`` turns of conversation ``c`` are those of ``c - c % 20``, the others its own.
+    """
+    coded = prefix_trie.coded(conversations, "conv_id", "turn", "role", "text").where("key is not null")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("turn", "code"))
+    numbered = materialize(coded.select("key", "code", "words", place.alias("turn")))
+    ids = numbered.where("turn = 1").select("key", remainder("key", 4).alias("h"), (F.col("key") - F.col("key") % 20).alias("base"))
+    own = numbered.where(F.col("turn") > remainder("key", 4)).select("key", "turn", "code", "words")
+    heads = numbered.where("key % 20 = 0 and turn <= 3").withColumnRenamed("key", "base")
+    first = ids.join(heads, "base").where("turn <= h").select("key", "turn", "code", "words")
+    return own.unionByName(first), ids.select("key")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    trie = prefix_trie.build(*rebuilt_turns(table(spark, folder, "conversations")))
+    ends = F.coalesce("ends_digest", F.sha2(F.lit("").cast("binary"), 256))
+    return trie.nodes.join(prefix_trie.ends_digests(trie), "node", "left").select(
+        F.col("first_id").alias("conv_id"),
+        "depth",
+        F.col("parent_first_id").alias("parent_conv_id"),
+        F.col("members").alias("n_convs"),
+        F.col("children").alias("n_children"),
+        F.col("leaves").alias("n_leaves"),
+        "saved_tokens",
+        ends.alias("ends_sha256"),
+    )
