@@ -311,7 +311,7 @@ def _edges(rows: DataFrame) -> dict[int, tuple[int, int]]:
     order = Window.orderBy("part")
     beside = parts.select("part", "low.codes", F.lag("high.codes").over(order).alias("earlier"))
     found = beside.select("part", F.coalesce(F.arrow_udf(_shared, "bigint")("earlier", "codes"), F.lit(-1)).alias("shared")).orderBy("part").collect()
-    after = [row.shared for row in found[1:]] + [-1]
+    after = [*[row.shared for row in found], -1][1:]
     return {row.part: (row.shared, a) for row, a in zip(found, after, strict=True)}
 
 

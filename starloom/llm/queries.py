@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm import chat_format, fertility, language, mixing, near_duplicates, neighbours, packed_output, prefix_trie, quality_model, token_counts, url_filter, vector_packing
+from starloom.llm import chat_format, fertility, language, mixing, near_duplicates, neighbours, packed_output, prefix_trie, quality_model, ranked_search, token_counts, url_filter, vector_packing
 from starloom.session import configure, materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,29 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
         "saved_tokens",
         ends.alias("ends_sha256"),
     )
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    documents, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = ranked_search.search(documents, items, "doc_id", "text", "item_id", "text")
+    return found.select(F.col("request").alias("item_id"), "rank", "doc_id", "score")
+
+
+SQL["op11_ranked_search"] = r"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL),
+    s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+    c AS (SELECT item_id, term, count(*) AS often FROM q GROUP BY ALL),
+    i AS (SELECT item_id, doc_id, often * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+                 * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))) AS impact
+          FROM c JOIN p USING (term) JOIN f USING (term) JOIN d USING (doc_id) CROSS JOIN s),
+    r AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM i GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM r WHERE score > 0 QUALIFY rank <= 20
+"""

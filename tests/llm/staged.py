@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+from fixtures import make_rows
+
+from starloom.plans import university as u
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,3 +30,11 @@ ODD_TEXTS = [None, "", " \t\n", "a", "Álgebra I", "Álgebra I", "¿?! 123 ###",
 
 def odd_rows(spark):
     return frame(spark, [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "sin clave")])
+
+
+def staging(spark, table):
+    """A staging table of the project, as ``U.STAGING_SCHEMAS`` describes it, from the rows of the small university."""
+    columns = [f"{c}_raw" for c in u.SOURCE_COLUMNS[table]]
+    rows = [(i, *[v or None for v in row], "archivo.csv", None) for i, row in enumerate(make_rows()[table], 1)]
+    schema = ", ".join(["row_id bigint", *[f"{c} string" for c in columns], "archivo_origen string", "fecha_carga timestamp"])
+    return spark.createDataFrame(rows, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import corpus_pipeline
+import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
@@ -18,9 +19,10 @@ def fold(doc_id: int, divisor: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % divisor
 
 
-def test_near_duplicates_against_sql(spark):
-    found = QUERIES["op9_minhash_near_dedup"](spark, FOLDER).toPandas()
-    assert difference(found, connect(FOLDER).execute(SQL["op9_minhash_near_dedup"]).df()) is None
+@pytest.mark.parametrize("name", SQL)
+def test_query_against_sql(spark, name):
+    found = QUERIES[name](spark, FOLDER).toPandas()
+    assert difference(found, connect(FOLDER).execute(SQL[name]).df()) is None
 
 
 def test_folds_of_the_classifiers(spark):
