@@ -147,3 +147,10 @@ def filter_by_history(
     if max_attempts is not None:
         numbered = numbered.where(F.col(attempt) <= max_attempts)
     return numbered.select(*exams.columns)
+
+
+def history_counts(offered: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One row: exams that the history let in, and those it turned away, of the exams with all keys."""
+    sides = offered.select(F.lit(0).alias("in")).unionByName(accepted.select(F.lit(1).alias("in")))
+    accepted_rows, offered_rows = F.count_if(F.col("in") == 1), F.count_if(F.col("in") == 0)
+    return sides.agg(accepted_rows.alias("aceptados"), (offered_rows - accepted_rows).alias("rechazados"))

@@ -77,13 +77,14 @@ def revise_versions(
 
 
 def added_versions(
-    dimension: DataFrame, classified: DataFrame, policy: ScdPolicy, order_by: Sequence[str]
+    dimension: DataFrame, classified: DataFrame, policy: ScdPolicy, order_by: Sequence[str], start: int | None = None
 ) -> DataFrame:
-    """New rows for unknown keys and for new versions, keyed on from the largest key."""
+    """New rows for unknown keys and for new versions, keyed from ``start`` on (default: after the largest key)."""
     rows = classified.where(F.col("_action").isin(INSERT, NEW_VERSION)).drop(
         "_action", _OLD + policy.surrogate
     )
-    keyed = assign_surrogate_keys(rows, policy.surrogate, order_by, next_key(dimension, policy.surrogate))
+    start = next_key(dimension, policy.surrogate) if start is None else start
+    keyed = assign_surrogate_keys(rows, policy.surrogate, order_by, start)
     return keyed.select(*dimension.columns)
 
 

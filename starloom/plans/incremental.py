@@ -9,21 +9,21 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions import is_national_id
-from starloom.operators import attempts, dimensions, facts, keys, merge, scd, watermark
-from starloom.operators.cascade import identity_maps
+from starloom.operators import attempts, dimensions, facts, keys, merge, repoint, scd, snapshot, watermark
 from starloom.operators.dedupe import drop_mapped, remap
+from starloom.operators.groups import AFTER, BEFORE
 from starloom.operators.joins import keep_matching
 from starloom.plans import university as u
-from starloom.plans.initial_load import ATTEMPT_COLUMNS, ENROLLMENT_MAP, STUDENT_MAP
+from starloom.plans.duplicate_maps import Maps, refresh_maps
+from starloom.plans.initial_load import ATTEMPT_COLUMNS
 from starloom.session import materialize, scratch, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.store import TableStore
 
 OFFERING_LOOKUPS = ("cursos", "docentes", "departamentos", "facultades")
 LOOKUPS = ("programas", *OFFERING_LOOKUPS)
-# A table of more folders than this is written anew as one.
-MOST_FOLDERS = 64
+# A part of a table with more folders than this is written anew as one.
+MOST_FOLDERS = 32
 
 
 @dataclass(frozen=True)
@@ -35,27 +35,60 @@ class IncrementalReport:
     students: dict[str, int] | None = None
     offerings: dict[str, int] | None = None
     facts: dict[str, dict[str, int]] | None = None
+    history: dict[str, int] | None = None
+    references: dict[str, int] | None = None
+    canonical: dict[str, int] | None = None
+    deleted: dict[str, int] | None = None
+
+
+# A dimension whose rows a snapshot may have lost: its entity, table and natural key.
+DELETABLE = (("estudiantes", "dim_estudiante", "idalumno"), ("dictados", "dim_dictado", "idDictado"))
 
 
 def staged(staging: TableStore, entity: str) -> DataFrame:
     return staging.read(u.staging_name(u.ENTITIES[entity].source))
 
 
+def replaced_since(staging: TableStore, entity: str, version: int | None) -> bool:
+    """Whether a staging table was replaced, not only added to, since a version."""
+    return version is not None and not staging.extends(u.staging_name(u.ENTITIES[entity].source), version)
+
+
+def snapshot_of(staging: TableStore, entity: str, version: int) -> DataFrame:
+    """Keys of an entity with what happened to their rows since a version, by digests of the typed columns."""
+    described = u.ENTITIES[entity]
+    table = u.staging_name(described.source)
+    before, after = described.typed(staging.read_at(table, version)), described.typed(staging.read(table))
+    columns = [c for c in after.columns if c not in (described.key, "row_id")]
+    return snapshot.snapshot_changes(before, after, [described.key], columns)
+
+
 def read_deltas(
-    staging: TableStore, last: dt.datetime | None, version: int | None
-) -> dict[str, DataFrame]:
+    staging: TableStore, last: dt.datetime | None, version: int | None, snapshots: bool = False
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """The new rows of every table, written down: each is small and read many times.
 
     New is what was published after the version that the last good run has seen.
     Logs without versions are read by their watermark, and without any good run
-    everything is new.
+    everything is new. With ``snapshots`` a table that was replaced is compared with
+    what the last run saw: of its rows only those of new and changed keys are new. The
+    second result are these comparisons by entity.
     """
+    compared: dict[str, DataFrame] = {}
+    if snapshots:
+        names = [name for name in u.ENTITIES if replaced_since(staging, name, version)]
+        compared = {name: materialize(snapshot_of(staging, name, version)) for name in names}
 
     def read(name: str) -> DataFrame:
-        rows = staging.read_since(u.staging_name(u.ENTITIES[name].source), version)
+        entity = u.ENTITIES[name]
+        rows = staging.read_since(u.staging_name(entity.source), version)
+        if name in compared:
+            changed = compared[name].where(F.col("cambio").isin(snapshot.INSERTED, snapshot.CHANGED))
+            numbers = keep_matching(entity.typed(rows, [entity.key]), changed, [entity.key])
+            rows = keep_matching(rows, numbers, ["row_id"])
         return materialize(watermark.delta(rows, last if version is None else None))
 
-    return dict(zip(u.ENTITIES, side_by_side([partial(read, name) for name in u.ENTITIES])))
+    return dict(zip(u.ENTITIES, side_by_side([partial(read, name) for name in u.ENTITIES]))), compared
 
 
 def delta_sizes(deltas: dict[str, DataFrame]) -> dict[str, int]:
@@ -66,33 +99,25 @@ def delta_sizes(deltas: dict[str, DataFrame]) -> dict[str, int]:
     return {row.entity: row.rows for row in reduce(DataFrame.union, counts).collect()}
 
 
-def rebuild_maps(staging: TableStore, scope: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Both duplicate maps from all of staging; only the id columns are read."""
-    students = u.ENTITIES["estudiantes"].typed(staged(staging, "estudiantes"), ["id_estudiante", "dni"])
-    students = students.where(is_national_id(F.col("dni")))
-    enrollments = u.ENTITIES["inscripciones"].typed(
-        staged(staging, "inscripciones"), ["id_inscripcion", "id_estudiante", "id_dictado"]
-    )
-    student_map, enrollment_map = identity_maps(students, enrollments, u.CASCADE, scope)
-    staging.replace(STUDENT_MAP, student_map)
-    staging.replace(ENROLLMENT_MAP, enrollment_map)
-    return student_map, enrollment_map
-
-
 def merge_dimension(
     warehouse: TableStore, table: str, delta: DataFrame, policy: scd.ScdPolicy, as_of: dt.date
 ) -> dict[str, int]:
-    """Apply a delta to a dimension. With new keys only, nothing stored is rewritten."""
-    dimension = warehouse.read(table)
-    classified = materialize(scd.classify(dimension, delta, policy))
+    """Apply a delta to a dimension: the buckets of its keys are read, and those with a changed version written anew."""
+    natural = policy.natural
+    classified = materialize(scd.classify(warehouse.read_keys(table, delta), delta, policy))
     counts = scd.scd_counts(classified).first().asDict()
     if not counts["insertados"] and not counts["actualizados_scd1"]:
         return counts
     rows = classified.where(F.col("_action").isin(scd.INSERT, scd.NEW_VERSION))
-    added = scd.added_versions(dimension, rows, policy, ["row_id"])
+    # New versions are numbered before stored ones are closed, and stored in files of their own.
+    added = materialize(
+        scd.added_versions(warehouse.read_parts(table, []), rows, policy, ["row_id"], warehouse.next_number(table))
+    )
     if counts["actualizados_scd2"] or counts["actualizados_scd1"]:
-        revised = scd.revise_versions(dimension, classified, policy, as_of)
-        warehouse.replace(table, revised)
+        changed = classified.where(F.col("_action").isin(scd.NEW_VERSION, scd.UPDATE)).select(natural)
+        parts = warehouse.parts_of(table, changed)
+        revised = scd.revise_versions(warehouse.read_parts(table, parts), classified, policy, as_of)
+        warehouse.replace_parts(table, revised, parts)
     warehouse.append(table, added)
     return counts
 
@@ -100,21 +125,20 @@ def merge_dimension(
 def merge_fact(
     warehouse: TableStore, table: str, rows: DataFrame, update: list[str]
 ) -> dict[str, int]:
-    """Upsert into a fact. Only the years that hold an updated row are rewritten."""
+    """Upsert into a fact. Only the parts that hold an updated row are rewritten, and only buckets of its keys read."""
     rows = materialize(rows)
     unique, surrogate = u.FACT_KEYS[table], u.FACT_SURROGATES[table]
-    stored = warehouse.read(table)
-    start = keys.next_key(stored, surrogate)
+    start = warehouse.next_number(table)
     updated = 0
     if unique:
+        stored = warehouse.read_keys(table, rows)
         hits = materialize(keep_matching(stored.select(*unique, "tiempoSKey"), rows, unique))
         updated = hits.count()
         fresh = merge.new_rows(hits, rows, unique)
         if updated:
-            year = F.expr(warehouse.parts[table]).cast("int").alias("year")
-            years = [row.year for row in hits.select(year).distinct().collect()]
-            touched = merge.updated_rows(warehouse.read_parts(table, years), rows, unique, update)
-            warehouse.replace_parts(table, touched, years)
+            parts = warehouse.parts_of(table, hits)
+            touched = merge.updated_rows(warehouse.read_parts(table, parts), rows, unique, update)
+            warehouse.replace_parts(table, touched, parts)
     else:
         fresh = rows
     fresh = materialize(fresh)
@@ -131,6 +155,78 @@ def narrowed(lookup: facts.KeyLookup, rows: DataFrame) -> facts.KeyLookup:
     return facts.KeyLookup(lookup.fact_column, small, lookup.natural, lookup.surrogate)
 
 
+def students_of(warehouse: TableStore, rows: DataFrame) -> facts.KeyLookup:
+    """Keys of the students that ``rows`` asks for, from their buckets of the dimension."""
+    asked = rows.select(F.col("id_estudiante").alias("idalumno"))
+    return narrowed(u.student_keys(warehouse.read_keys("dim_estudiante", asked)), rows)
+
+
+def offerings_of(warehouse: TableStore, rows: DataFrame) -> facts.KeyLookup:
+    """Keys of the offerings that ``rows`` asks for, from their buckets of the dimension."""
+    asked = rows.select(F.col("id_dictado").alias("idDictado"))
+    return narrowed(u.offering_keys(warehouse.read_keys("dim_dictado", asked)), rows)
+
+
+def absorbed_students(warehouse: TableStore, maps: Maps, as_of: dt.date, move: bool) -> dict[str, int]:
+    """Loaded students who now stand for another one, since a smaller id of the same person came later.
+
+    Counted always. With ``move`` their facts get the key of the canonical student, where no row
+    of that student has the unique key already, and their versions are closed.
+    """
+    found = {"cambiados": 0, "cargados": 0, "movidas": 0, "retenidas": 0}
+    changes = maps.student_changes.where(F.col(AFTER) < F.col(BEFORE))
+    found["cambiados"] = changes.count()
+    if not found["cambiados"]:
+        return found
+    chased = repoint.follow_chains(changes, maps.students)
+    asked = chased.select(F.col("id").alias("idalumno")).union(chased.select(AFTER))
+    dimension = warehouse.read_keys("dim_estudiante", asked)
+    changed = materialize(repoint.key_changes(dimension, chased, "idalumno", "alumnoSKey"))
+    found["cargados"] = changed.select("id").distinct().count()
+    if not move or not found["cargados"]:
+        return found
+    both = changed.select(F.col("clave").alias("alumnoSKey")).union(changed.select("clave_nueva")).dropna()
+    for table in ("fact_inscripcion", "fact_examen_estudiante"):
+        result = repoint.repoint(
+            warehouse.read_keys(table, both), changed, "alumnoSKey", u.FACT_KEYS[table], u.FACT_SURROGATES[table]
+        )
+        count = result.moved.count()
+        found["movidas"] += count
+        found["retenidas"] += result.blocked.count()
+        if count:
+            surrogate = u.FACT_SURROGATES[table]
+            old = keep_matching(warehouse.read_keys(table, both), result.moved, [surrogate])
+            parts = warehouse.parts_of(table, old)
+            stay = warehouse.read_parts(table, parts).join(result.moved.select(surrogate), surrogate, "left_anti")
+            warehouse.replace_parts(table, stay, parts)
+            warehouse.append(table, result.moved)
+    gone = changed.where("clave_nueva is not null").select(F.col("id").alias("idalumno")).distinct()
+    close_keys(warehouse, "dim_estudiante", gone, "idalumno", as_of)
+    return found
+
+
+def close_keys(warehouse: TableStore, table: str, ids: DataFrame, natural: str, as_of: dt.date) -> int:
+    """Close the current versions of some natural keys; how many there were."""
+    stored = warehouse.read_keys(table, ids)
+    open_ = materialize(keep_matching(stored.where("es_actual").select(natural), ids, [natural]))
+    count = open_.count()
+    if count:
+        parts = warehouse.parts_of(table, open_)
+        warehouse.replace_parts(table, repoint.close_versions(warehouse.read_parts(table, parts), open_, natural, as_of), parts)
+    return count
+
+
+def close_deleted(warehouse: TableStore, compared: dict[str, DataFrame], as_of: dt.date) -> dict[str, int]:
+    """Close the versions of rows that a replaced staging table no longer has."""
+    closed = {}
+    for entity, table, natural in DELETABLE:
+        if entity in compared:
+            gone = compared[entity].where(F.col("cambio") == snapshot.DELETED)
+            ids = materialize(gone.select(F.col(u.ENTITIES[entity].key).alias(natural)))
+            closed[entity] = close_keys(warehouse, table, ids, natural, as_of)
+    return closed
+
+
 def enrollments_of(
     staging: TableStore, exams: DataFrame, student_map: DataFrame
 ) -> DataFrame:
@@ -140,17 +236,30 @@ def enrollments_of(
     return materialize(remap(entity.pick(rows), student_map, "id_estudiante"))
 
 
+@dataclass(frozen=True)
+class Options:
+    """What a run does beyond the plain rules."""
+
+    max_attempts: int | None = None
+    # Compare replaced staging tables with what the last run saw, and close the versions of deleted rows.
+    snapshots: bool = False
+    # Give the facts of students who now stand for another one that one's key.
+    move_absorbed: bool = False
+
+
 def apply_deltas(
     staging: TableStore,
     warehouse: TableStore,
     deltas: dict[str, DataFrame],
     sizes: dict[str, int],
     as_of: dt.date,
-    max_attempts: int | None,
+    options: Options,
+    maps: Maps,
+    compared: dict[str, DataFrame],
 ) -> IncrementalReport:
     """Clean the deltas and write the next state of the warehouse tables they touch."""
     clean = {name: u.ENTITIES[name].clean(deltas[name]) for name in u.ENTITIES if name not in LOOKUPS}
-    student_map, enrollment_map = rebuild_maps(staging)
+    student_map, enrollment_map = maps.students, maps.enrollments
 
     students = materialize(drop_mapped(clean["estudiantes"], student_map, "id_estudiante"))
     canonical = remap(clean["inscripciones"], student_map, "id_estudiante")
@@ -168,29 +277,40 @@ def apply_deltas(
         frames = [u.ENTITIES[name].clean(staged(staging, name)) for name in names]
         return dict(zip(names, side_by_side([partial(materialize, df) for df in frames])))
 
-    student_counts, offering_counts = dict(scd.NO_CHANGES), dict(scd.NO_CHANGES)
+    student_counts, offering_counts, unknown = dict(scd.NO_CHANGES), dict(scd.NO_CHANGES), {}
     if sizes["estudiantes"]:
-        student_delta = u.student_dimension(students, lookups("programas")["programas"], as_of)
+        parents = lookups("programas")
+        student_delta = u.student_dimension(students, parents["programas"], as_of)
         student_counts = merge_dimension(warehouse, "dim_estudiante", student_delta, u.STUDENT_POLICY, as_of)
+        unknown |= counted(u.student_references(students, parents["programas"]))
     if sizes["dictados"]:
-        offering_delta = u.offering_dimension(offerings, lookups(*OFFERING_LOOKUPS), as_of)
+        parents = lookups(*OFFERING_LOOKUPS)
+        offering_delta = u.offering_dimension(offerings, parents, as_of)
         offering_counts = merge_dimension(warehouse, "dim_dictado", offering_delta, u.OFFERING_POLICY, as_of)
+        unknown |= counted(u.offering_references(offerings, parents))
+    absorbed = absorbed_students(warehouse, maps, as_of, options.move_absorbed)
+    deleted = close_deleted(warehouse, compared, as_of)
 
-    student_keys = u.student_keys(warehouse.read("dim_estudiante"))
-    offering_keys = u.offering_keys(warehouse.read("dim_dictado"))
     fact_counts = {table: {"insertados": 0, "actualizados": 0} for table in u.FACT_KEYS}
+    history = {"aceptados": 0, "rechazados": 0}
     if sizes["inscripciones"]:
-        fact = u.enrollment_fact(enrollments, narrowed(student_keys, enrollments), narrowed(offering_keys, enrollments))
+        fact = u.enrollment_fact(enrollments, students_of(warehouse, enrollments), offerings_of(warehouse, enrollments))
         fact_counts["fact_inscripcion"] = merge_fact(warehouse, "fact_inscripcion", fact, ["estado", "abandono"])
     if sizes["examenes"]:
-        fact = new_exams(staging, warehouse, exams, student_map, enrollment_map, student_keys, offering_keys, max_attempts)
+        accepted, history = new_exams(staging, warehouse, exams, student_map, enrollment_map, options.max_attempts)
         fact_counts["fact_examen_estudiante"] = merge_fact(
-            warehouse, "fact_examen_estudiante", fact, ["nota", "aprobado"]
+            warehouse, "fact_examen_estudiante", u.exam_fact(accepted), ["nota", "aprobado"]
         )
     if sizes["evaluaciones"]:
-        fact = u.evaluation_fact(evaluations, narrowed(offering_keys, evaluations))
+        fact = u.evaluation_fact(evaluations, offerings_of(warehouse, evaluations))
         fact_counts["fact_evaluacion_dictado"] = merge_fact(warehouse, "fact_evaluacion_dictado", fact, [])
-    return IncrementalReport(sum(sizes.values()), date_count, student_counts, offering_counts, fact_counts)
+    return IncrementalReport(
+        sum(sizes.values()), date_count, student_counts, offering_counts, fact_counts, history, unknown, absorbed, deleted
+    )
+
+
+def counted(references: DataFrame) -> dict[str, int]:
+    return {row.branch: row.missing_rows for row in references.collect()}
 
 
 def new_exams(
@@ -199,28 +319,30 @@ def new_exams(
     exams: DataFrame,
     student_map: DataFrame,
     enrollment_map: DataFrame,
-    student_keys: facts.KeyLookup,
-    offering_keys: facts.KeyLookup,
     max_attempts: int | None,
-) -> DataFrame:
-    """Fact rows of the exams that the attempt rules accept, given the stored history."""
+) -> tuple[DataFrame, dict[str, int]]:
+    """The exams that the attempt rules accept, given the stored history of their students, and how many they do not."""
     owners = enrollments_of(staging, exams, student_map)
     consolidated = attempts.consolidate_attempts(
         exams, owners, enrollment_map, attempt="numero_intento", **ATTEMPT_COLUMNS
     )
-    lookups = [narrowed(student_keys, owners), narrowed(offering_keys, owners)]
+    lookups = [students_of(warehouse, owners), offerings_of(warehouse, owners)]
+    both = ["alumnoSKey", "dictadoSKey"]
     resolved = materialize(facts.resolve_keys(u.own_exams(consolidated, owners), lookups))
-    accepted = attempts.filter_by_history(
-        resolved,
-        warehouse.read("fact_examen_estudiante"),
-        keys=["alumnoSKey", "dictadoSKey"],
-        date="fecha",
-        tie=["id_examen"],
-        passed="aprobado",
-        attempt="numero_intento",
-        max_attempts=max_attempts,
+    known = resolved.dropna(subset=both)
+    accepted = materialize(
+        attempts.filter_by_history(
+            resolved,
+            warehouse.read_keys("fact_examen_estudiante", known),
+            keys=both,
+            date="fecha",
+            tie=["id_examen"],
+            passed="aprobado",
+            attempt="numero_intento",
+            max_attempts=max_attempts,
+        )
     )
-    return u.exam_fact(accepted)
+    return accepted, attempts.history_counts(known, accepted).first().asDict()
 
 
 def run_incremental(
@@ -230,28 +352,34 @@ def run_incremental(
     began: dt.datetime | None = None,
     as_of: dt.date | None = None,
     max_attempts: int | None = None,
+    snapshots: bool = False,
+    move_absorbed: bool = False,
 ) -> IncrementalReport:
     """Load everything staged since the last good run.
 
     All tables are published together at the end, the duplicate maps of staging just
     before the warehouse. A failed run publishes nothing, is logged with its error,
-    and leaves the watermark and the version where they were.
+    and leaves the watermark and the version where they were. See ``Options`` for
+    ``snapshots`` and ``move_absorbed``.
     """
     began = began or dt.datetime.now()
     as_of = as_of or began.date()
+    options = Options(max_attempts, snapshots, move_absorbed)
     last, version = audit.last_watermark(), audit.last_version()
     run = audit.start(began, last)
     try:
         with warehouse.transaction(), staging.transaction(), scratch(staging.spark):
             seen = staging.version()
-            deltas = read_deltas(staging, last, version)
+            deltas, compared = read_deltas(staging, last, version, snapshots)
             sizes = delta_sizes(deltas)
             total = sum(sizes.values())
             report = IncrementalReport(0)
-            if total:
-                report = apply_deltas(staging, warehouse, deltas, sizes, as_of, max_attempts)
-                for table in u.WAREHOUSE_SCHEMAS:
-                    warehouse.compact(table, MOST_FOLDERS)
+            if total or compared:
+                maps = refresh_maps(staging, deltas, version, seen)
+                report = apply_deltas(staging, warehouse, deltas, sizes, as_of, options, maps, compared)
+                for store in (warehouse, staging):
+                    for table in {**store.parts, **store.buckets}:
+                        store.compact(table, MOST_FOLDERS)
     except Exception as error:
         audit.close(run, began, last, max(began, dt.datetime.now()), watermark.ERROR, 0, str(error))
         raise

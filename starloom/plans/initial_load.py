@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from starloom.operators import attempts, dimensions, facts, keys, quality, watermark
 from starloom.operators.cascade import Cascade, resolve_identities
 from starloom.operators.dedupe import count_remapped
-from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.plans import university as u
+from starloom.plans.duplicate_maps import BUCKET_KEYS as STATE_KEYS
+from starloom.plans.duplicate_maps import ENROLLMENT_MAP, MERGED, STATE_SCHEMAS, STUDENT_MAP
 from starloom.session import configure, materialize, scratch, settled, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.staging import (
@@ -28,12 +29,20 @@ from starloom.sources.staging import (
     source_report,
     stage,
 )
-from starloom.sources.store import TableStore
+from starloom.sources.store import TableStore, bucket
 
-STUDENT_MAP, ENROLLMENT_MAP = "stg_estudiantes_repetidos", "stg_inscripciones_repetidas"
-
-# Facts are stored by the year of their date key.
+# Facts are stored by the year of their date key; dimensions and the facts of students by the hash
+# of the key that deltas look them up by as well.
 FACT_PARTS = {table: "tiempoSKey div 10000" for table in u.FACT_KEYS}
+# A bucket of a table should come to some gigabytes, so large warehouses want more of them.
+BUCKETS = 8
+BUCKET_KEYS = {
+    "dim_estudiante": "idalumno",
+    "dim_dictado": "idDictado",
+    "fact_inscripcion": "alumnoSKey",
+    "fact_examen_estudiante": "alumnoSKey",
+}
+NUMBERED = u.FACT_SURROGATES | {"dim_estudiante": "alumnoSKey", "dim_dictado": "dictadoSKey"}
 
 ATTEMPT_COLUMNS = {
     "enrollment_id": "id_inscripcion",
@@ -59,12 +68,16 @@ class LoadReport:
     tables: DataFrame
 
 
-def open_staging(spark: SparkSession, root: str) -> TableStore:
-    return TableStore(configure(spark), root, u.STAGING_SCHEMAS)
+def open_staging(spark: SparkSession, root: str, buckets: int = BUCKETS) -> TableStore:
+    """The staging tables and the state of their duplicate maps; ``buckets`` as for the warehouse."""
+    by_key = {table: bucket(key, buckets) for table, key in STATE_KEYS.items()}
+    return TableStore(configure(spark), root, u.STAGING_SCHEMAS | STATE_SCHEMAS, buckets=by_key)
 
 
-def open_warehouse(spark: SparkSession, root: str) -> TableStore:
-    return TableStore(configure(spark), root, u.WAREHOUSE_SCHEMAS, FACT_PARTS)
+def open_warehouse(spark: SparkSession, root: str, buckets: int = BUCKETS) -> TableStore:
+    """The warehouse tables; ``buckets`` is part of how they are stored and has to stay the same."""
+    by_key = {table: bucket(key, buckets) for table, key in BUCKET_KEYS.items()}
+    return TableStore(configure(spark), root, u.WAREHOUSE_SCHEMAS, FACT_PARTS, by_key, NUMBERED)
 
 
 def check_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,19 +161,7 @@ def duplicate_report(clean: dict[str, DataFrame], merged: Cascade, exams: DataFr
 
 def reference_report(clean: dict[str, DataFrame]) -> DataFrame:
     """Rows that found no parent, per branch of the dimensions."""
-    students = skew_safe_join(clean["estudiantes"].drop(ROW_ID), clean["programas"].drop(ROW_ID), ["id_programa"])
-    offerings = flatten_chain(clean["dictados"].drop(ROW_ID), u.offering_parents(clean))
-    return missing_references(students, {"programa": "nombre_programa"}).unionByName(
-        missing_references(
-            offerings,
-            {
-                "curso": "nombre_curso",
-                "docente": "nombre_docente",
-                "departamento": "nombre_departamento",
-                "facultad": "nombre_facultad",
-            },
-        )
-    )
+    return u.student_references(clean["estudiantes"], clean["programas"]).unionByName(u.offering_references(clean["dictados"], clean))
 
 
 def load_warehouse(
@@ -191,6 +192,7 @@ def _load_warehouse(
     merged = resolve_identities(clean["estudiantes"], clean["inscripciones"], clean["examenes"], u.CASCADE)
     staging.replace(STUDENT_MAP, merged.person_map)
     staging.replace(ENROLLMENT_MAP, merged.enrollment_map)
+    staging.replace(MERGED, staging.read(MERGED).limit(0))  # these maps are narrower than the state of deltas
 
     enrollments = materialize(merged.enrollments)
     raw_exams = u.with_passed(merged.exams)

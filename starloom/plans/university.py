@@ -14,7 +14,7 @@ from starloom import functions as fn
 from starloom.operators import dimensions, facts, quality
 from starloom.operators.cascade import CascadeColumns
 from starloom.operators.dedupe import keep_one
-from starloom.operators.joins import flatten_chain, skew_safe_join
+from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.operators.keys import current_key_map
 from starloom.operators.scd import ScdPolicy
 
@@ -409,6 +409,21 @@ def dates_of(enrollments: DataFrame, exams: DataFrame, evaluations: DataFrame) -
     )
 
 
+def student_references(students: DataFrame, programmes: DataFrame) -> DataFrame:
+    """Students whose programme is unknown, as a row of branch and count."""
+    joined = skew_safe_join(students.drop("row_id"), programmes.drop("row_id"), ["id_programa"])
+    return missing_references(joined, {"programa": "nombre_programa"})
+
+
+def offering_references(offerings: DataFrame, parents: Mapping[str, DataFrame]) -> DataFrame:
+    """Offerings without course, teacher, department or faculty: a row of branch and count for each."""
+    joined = flatten_chain(offerings.drop("row_id"), offering_parents(parents))
+    branches = {
+        "curso": "nombre_curso", "docente": "nombre_docente", "departamento": "nombre_departamento", "facultad": "nombre_facultad",
+    }
+    return missing_references(joined, branches)
+
+
 def student_keys(dim_estudiante: DataFrame) -> facts.KeyLookup:
     return facts.KeyLookup("id_estudiante", current_key_map(dim_estudiante, "idalumno", "alumnoSKey"), "idalumno", "alumnoSKey")
 

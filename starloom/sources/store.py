@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PUBLISHED = "published"
-_PUBLISHED_SCHEMA = "version bigint, tabla string, rutas array<string>, etiqueta string"
+_PUBLISHED_SCHEMA = "version bigint, tabla string, rutas array<string>, etiqueta string, mayor bigint"
 _PART = "parte"
+# The number of a part is its group times this, plus its bucket.
+_GROUP = 10_000
 
 
 @dataclass
@@ -25,34 +28,46 @@ class TableStore:
     only, so a path that is being read is never overwritten, and an append does
     not rewrite what is stored. Tables named in ``parts`` are split into one
     folder per value of an integer expression, so that an update rewrites the
-    touched parts only. ``publish`` adds the lists of all changed tables in one
-    small file, which is the commit point: a run that fails before it leaves the
-    old state in place.
+    touched parts only; tables in ``buckets`` by the hash of a key besides, so that
+    few keys are looked up in few folders. Of tables in ``numbered`` the largest
+    value of a column is kept with the list of folders. ``publish`` adds the lists
+    of all changed tables in one small file, which is the commit point: a run that
+    fails before it leaves the old state in place.
+
+    The expressions of a table must stay what they were when it was first written.
     """
 
     spark: SparkSession
     root: str
     schemas: Mapping[str, str]
     parts: Mapping[str, str] = field(default_factory=dict)
+    buckets: Mapping[str, str] = field(default_factory=dict)
+    numbered: Mapping[str, str] = field(default_factory=dict)
     _pending: dict[str, list[str]] = field(default_factory=dict)
-    _state: tuple[int, dict[str, list[str]]] | None = None
+    _tops: dict[str, int | None] = field(default_factory=dict)
+    _state: tuple[int, dict[str, list[str]], dict[str, int | None]] | None = None
     _written: int = 0
 
-    def _published(self) -> tuple[int, dict[str, list[str]]]:
-        """The last version and the folders of every table; read once per run."""
+    def _published(self) -> tuple[int, dict[str, list[str]], dict[str, int | None]]:
+        """The last version, and the folders and the largest number of every table; read once per run."""
         if self._state is None:
             try:
                 log = self.spark.read.schema(_PUBLISHED_SCHEMA).parquet(f"{self.root}/{PUBLISHED}")
                 latest = log.groupBy("tabla").agg(
-                    F.max("version").alias("version"), F.max_by("rutas", "version").alias("rutas")
+                    F.max("version").alias("version"), F.max_by(F.struct("rutas", "mayor"), "version").alias("last")
                 )
-                rows = latest.collect()
+                rows = latest.select("tabla", "version", "last.*").collect()
             except AnalysisException:
                 rows = []
             folders = {row.tabla: list(row.rutas) for row in rows}
-            self._state = max((row.version for row in rows), default=0), folders
+            self._state = max((row.version for row in rows), default=0), folders, {row.tabla: row.mayor for row in rows}
         return self._state
 
+    def _part(self, table: str) -> str | None:
+        """The expression of a row's part."""
+        group, bucket = self.parts.get(table), self.buckets.get(table)
+        return f"({group}) * {_GROUP} + ({bucket})" if group and bucket else group or bucket
+
     def _folders(self, table: str) -> list[str]:
         """The folders of the next state so far."""
         if table not in self.schemas:
@@ -74,6 +89,23 @@ class TableStore:
         """The last published version."""
         return self._published()[0]
 
+    def extends(self, table: str, version: int) -> bool:
+        """Whether a table still holds every folder it had at a published version: it was only added to since."""
+        return set(self._folders_at(table, version)) <= set(self._folders(table))
+
+    def read_at(self, table: str, version: int) -> DataFrame:
+        """The table as it was at a published version; folders of old versions are not deleted."""
+        self._folders(table)
+        return self._open(table, self._folders_at(table, version))
+
+    def _folders_at(self, table: str, version: int) -> list[str]:
+        try:
+            log = self.spark.read.schema(_PUBLISHED_SCHEMA).parquet(f"{self.root}/{PUBLISHED}")
+        except AnalysisException:
+            return []
+        old = log.where((F.col("tabla") == table) & (F.col("version") <= version)).agg(F.max_by("rutas", "version")).first()[0]
+        return list(old or [])
+
     def read_since(self, table: str, version: int | None) -> DataFrame:
         """Rows published after a version (None: all); no older folder is read.
 
@@ -83,6 +115,27 @@ class TableStore:
         self._folders(table)
         return self._open(table, [f for f in published if version is None or _version_of(f) > version])
 
+    def parts_of(self, table: str, df: DataFrame) -> list[int]:
+        """The parts that rows of a frame belong to; it has to have the columns that decide it."""
+        return sorted(row[0] for row in df.select(F.expr(self._part(table)).cast("int")).distinct().collect())
+
+    def read_keys(self, table: str, keys: DataFrame) -> DataFrame:
+        """The rows that can have one of some keys: those in the buckets of the keys, whatever their group.
+
+        A table without buckets is read as a whole.
+        """
+        if table not in self.buckets:
+            return self.read(table)
+        asked = {row[0] for row in keys.select(F.expr(self.buckets[table]).cast("int")).distinct().collect()}
+        return self._open(table, [f for f in self._folders(table) if _part_of(f) % _GROUP in asked])
+
+    def next_number(self, table: str) -> int:
+        """One more than the largest value of the numbered column, without a look at stored rows."""
+        top = self._tops.get(table, self._published()[2].get(table))
+        if top is None and self._folders(table):  # written before the largest number was kept
+            top = self.read(table).agg(F.max(self.numbered[table])).first()[0]
+        return (top or 0) + 1
+
     def read_parts(self, table: str, values: Sequence[int]) -> DataFrame:
         """The rows of some parts; no other folder is read."""
         return self._open(table, [f for f in self._folders(table) if _in_parts(f, values)])
@@ -97,20 +150,30 @@ class TableStore:
                 for f in StructType.fromDDL(self.schemas[table]).fields
             ]
         )
-        if table not in self.parts:
+        if not self._part(table):
             rows.write.mode("overwrite").parquet(folder)
+            self._note_top(table, folder)
             return [folder]
-        placed = rows.withColumn(_PART, F.expr(self.parts[table]).cast("int"))
+        placed = rows.withColumn(_PART, F.expr(self._part(table)).cast("int"))
         # Rebalancing brings the rows of a part together for few files, and splits a
         # part that is too big for one task.
         balanced = placed.hint("rebalance", F.col(_PART))
         balanced.write.mode("overwrite").partitionBy(_PART).parquet(folder)
         written = self.spark.read.schema(f"{_PART} int").parquet(folder).distinct().collect()
+        self._note_top(table, folder)
         return [f"{folder}/{_PART}={row[0]}" for row in written]
 
+    def _note_top(self, table: str, folder: str) -> None:
+        """Keep the largest number, from the new files alone. It never falls, so no number is given twice."""
+        if table in self.numbered:
+            column = self.numbered[table]
+            top = self.spark.read.schema(f"{column} bigint").parquet(folder).agg(F.max(column)).first()[0]
+            self._tops[table] = max(top or 0, self.next_number(table) - 1)
+
     def replace(self, table: str, df: DataFrame) -> None:
         """Make ``df`` the whole next state of a table."""
         self._folders(table)
+        self._tops[table] = 0  # no stored row stays
         self._pending[table] = self._write(table, df)
 
     def append(self, table: str, df: DataFrame) -> None:
@@ -127,7 +190,8 @@ class TableStore:
         version = self._published()[0]
         if self._pending:
             version += 1
-            rows = [(version, table, folders, label) for table, folders in self._pending.items()]
+            tops = self._published()[2] | self._tops
+            rows = [(version, table, folders, label, tops.get(table)) for table, folders in self._pending.items()]
             log = self.spark.createDataFrame(rows, _PUBLISHED_SCHEMA)
             log.coalesce(1).write.mode("append").parquet(f"{self.root}/{PUBLISHED}")
         self.discard()
@@ -156,8 +220,17 @@ class TableStore:
             raise
 
     def compact(self, table: str, most_folders: int = 32) -> bool:
-        """Write a table with more folders anew as one, with the same rows; whether it was."""
+        """Write a table with more folders anew as one, with the same rows; whether it was.
+
+        Of a table in parts only those with more folders are written anew.
+        """
         folders = self._folders(table)
+        if self._part(table):
+            held = Counter(_part_of(f) for f in folders)
+            crowded = [part for part, count in held.items() if count > most_folders]
+            if crowded:
+                self.replace_parts(table, self.read_parts(table, crowded), crowded)
+            return bool(crowded)
         if len(folders) <= most_folders:
             return False
         self.replace(table, self._open(table, folders))
@@ -166,12 +239,23 @@ class TableStore:
     def discard(self) -> None:
         """Forget what was written and not published, and read the state afresh."""
         self._pending.clear()
+        self._tops.clear()
         self._state, self._written = None, 0
 
 
+def bucket(column: str, buckets: int) -> str:
+    """The bucket of a row by the hash of a key."""
+    return f"pmod(xxhash64({column}), {buckets})"
+
+
 def _version_of(folder: str) -> int:
     return int(re.search(r"/v=(\d+)-\d+", folder)[1])
 
 
+def _part_of(folder: str) -> int | None:
+    found = re.search(rf"/{_PART}=(-?\d+)$", folder)
+    return int(found[1]) if found else None
+
+
 def _in_parts(folder: str, values: Sequence[int]) -> bool:
-    return any(folder.endswith(f"/{_PART}={value}") for value in values)
+    return _part_of(folder) in set(values)

@@ -266,7 +266,7 @@ def test_failed_run(world, monkeypatch):
     def fail(*_args, **_kwargs):
         raise RuntimeError("no space")
 
-    monkeypatch.setattr(incremental.u, "student_keys", fail)
+    monkeypatch.setattr(incremental, "close_deleted", fail)
     with pytest.raises(RuntimeError, match="no space"):
         run_incremental(world.staging, world.warehouse, world.audit, dt.datetime(2026, 9, 3, 9))
     monkeypatch.undo()
