@@ -71,7 +71,8 @@ class LoadReport:
 def open_staging(spark: SparkSession, root: str, buckets: int = BUCKETS) -> TableStore:
     """The staging tables and the state of their duplicate maps; ``buckets`` as for the warehouse."""
     by_key = {table: bucket(key, buckets) for table, key in STATE_KEYS.items()}
-    return TableStore(configure(spark), root, u.STAGING_SCHEMAS | STATE_SCHEMAS, buckets=by_key)
+    numbered = {u.staging_name(source): ROW_ID for source in u.SOURCE_COLUMNS}
+    return TableStore(configure(spark), root, u.STAGING_SCHEMAS | STATE_SCHEMAS, buckets=by_key, numbered=numbered)
 
 
 def open_warehouse(spark: SparkSession, root: str, buckets: int = BUCKETS) -> TableStore:
@@ -126,6 +127,12 @@ def table_sizes(store: TableStore, tables: list[str]) -> DataFrame:
     return quality.row_counts({t: store.read(t) for t in tables})
 
 
+def preload_report(staging: TableStore, folder: str) -> DataFrame:
+    """Before a load: whether each extract is there and how big, and the rows its staging table holds."""
+    rows = table_sizes(staging, [u.staging_name(source) for source in u.SOURCE_COLUMNS])
+    return check_sources(staging.spark, folder).join(F.broadcast(rows), "tabla")
+
+
 def clean_all(staging: TableStore) -> dict[str, DataFrame]:
     """Every entity, cleaned once and written down as typed columns."""
 

@@ -58,7 +58,9 @@ def load_all() -> Registry:
     from starloom.plans import (  # noqa: F401
         queries_cleaning,
         queries_dedupe,
+        queries_pipeline,
         queries_quality,
+        queries_state,
         queries_university,
         queries_warehouse,
     )

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starloom.operators.keys import next_key
 from starloom.plans import university as u
 from starloom.plans.incremental import IncrementalReport, run_incremental
 from starloom.session import scratch
@@ -48,7 +47,7 @@ def _stage_batch(
 
 def _append_rows(staging: TableStore, source: str, rows: DataFrame, loaded_at: dt.datetime) -> None:
     table = u.staging_name(source)
-    read = number_positions(blank_null_tokens(rows), next_key(staging.read(table), ROW_ID))
+    read = number_positions(blank_null_tokens(rows), staging.next_number(table))
     line_report(read, source, u.SOURCE_COLUMNS[source])
     numbered = read.drop(BROKEN_LINE)
     if source == "evaluacion_curso":
@@ -91,15 +90,16 @@ def run_cycle(
     landing: str,
     checkpoints: str,
     sources: list[str] | None = None,
+    now: Callable[[], dt.datetime] = dt.datetime.now,
     **options: object,
 ) -> IncrementalReport:
-    """Stage what has landed, then load it.
+    """Stage what has landed, then load it; ``options`` are those of ``run_incremental``.
 
     Offerings are staged before evaluations, whose dates depend on them. Sources
     are staged one after another, since the store has one writer at a time.
     """
     for source in sources or list(u.SOURCE_COLUMNS):
-        ingest(staging, landing, checkpoints, source).awaitTermination()
+        ingest(staging, landing, checkpoints, source, now).awaitTermination()
     return run_incremental(staging, warehouse, audit, **options)
 
 
