@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,24 +29,38 @@ def _digits(text: Column, shape: str) -> Column:
     return F.replace(F.regexp_extract(strip(text), shape, 1), F.lit("_"), F.lit(""))
 
 
+def keep_if(value: Column, wanted: Callable[[Column], Column]) -> Column:
+    """The value where a condition on it holds, else null.
+
+    As an element of an array the value is worked out once, where ``when`` would work it out again
+    for every mention.
+    """
+    return F.get(F.filter(F.array(value), wanted), F.lit(0))
+
+
 def _finite(number: Column) -> Column:
     """Text beyond the largest double is no number."""
-    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    return keep_if(number, lambda v: F.abs(v) != F.lit(float("inf")))
 
 
 def clean_integer(c: Column) -> Column:
     """Dots, commas and blanks are grouping marks: ``34.157.347`` is 34157347.
 
     Plain digits are read exactly; only text with an exponent goes through a double.
+    Text that is just what its number is written as, the usual case, needs no pattern.
     """
+    plain = c.try_cast("bigint")
     digits = _digits(F.translate(c, "., ", ""), _INTEGER)
     large = digits.try_cast("double").try_cast("bigint")
-    return F.when(F.contains(digits, F.lit("e")) | F.contains(digits, F.lit("E")), large).otherwise(digits.try_cast("bigint"))
+    exponent = F.contains(digits, F.lit("e")) | F.contains(digits, F.lit("E"))
+    shaped = F.when(exponent, large).otherwise(digits.try_cast("bigint"))
+    return F.when(plain.cast("string") == c, plain).otherwise(shaped)
 
 
 def clean_decimal(c: Column) -> Column:
     """The right-most of ``,`` and ``.`` is the decimal mark, the other one groups."""
-    ungrouped = F.regexp_replace(F.translate(c, " ", ""), _GROUPING, "")
+    both = F.contains(c, F.lit(".")) & F.contains(c, F.lit(","))
+    ungrouped = F.translate(F.when(both, F.regexp_replace(c, _GROUPING, "")).otherwise(c), " ", "")
     return _finite(_digits(F.translate(ungrouped, ",", "."), _DECIMAL).try_cast("double"))
 
 
@@ -58,8 +74,8 @@ def is_national_id(c: Column) -> Column:
 
 
 def non_negative(c: Column) -> Column:
-    return F.when(c >= 0, c)
+    return keep_if(c, lambda v: v >= 0)
 
 
 def between_or_null(c: Column, low: float, high: float) -> Column:
-    return F.when(c.between(low, high), c)
+    return keep_if(c, lambda v: v.between(low, high))

@@ -12,13 +12,16 @@ from contextvars import ContextVar, copy_context
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. forceOptimizeSkewedJoin lets adaptive
-# execution split a hot join partition even where that costs one more shuffle.
+# execution split a hot join partition even where that costs one more shuffle. The
+# JVM never compiles a method of more than 8000 bytes, so stages whose generated
+# method is larger run their operators' own, smaller ones.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
