@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import starloom
+from starloom.session import materialize
 
 MOST_LABELS = 512
 # Rows per Arrow batch; texts of some kilobytes each then take a few megabytes at once.
@@ -99,3 +100,24 @@ def sample_by_label(df: DataFrame, label: str, key: str, most: int) -> tuple[Dat
             share = F.when(F.col(label) == F.lit(value), F.lit(most / rows)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share * (1 << 30)
     return labelled.where(drawn), counts
+
+
+def one_of_each(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per key: the text with the smallest hash.
+
+    Rows that repeat a key are reduced to one before the shuffle, so a key with very many rows
+    costs a sample nothing.
+    """
+    return df.groupBy(*keys).agg(F.min_by(text, F.xxhash64(text)).alias(text))
+
+
+def drawn_texts(texts: DataFrame, labels: DataFrame, key: str, label: str, text: str, most: int) -> tuple[DataFrame, dict]:
+    """``key``, ``label`` and one text for about ``most`` keys of each label, and the keys per label.
+
+    Repeated labels of a key count once. The drawn labels are broadcast if they are as few as
+    they should be, so texts are scanned and not shuffled, and joined by shuffling otherwise.
+    """
+    drawn, counts = sample_by_label(labels.select(key, label).distinct(), label, key, most)
+    drawn = materialize(drawn)
+    few = drawn.count() <= 2 * most * max(1, len(counts))
+    return one_of_each(texts.join(F.broadcast(drawn) if few else drawn, key), [key, label], text), counts

@@ -16,6 +16,7 @@ labelled row there is no domain, and every rate is 1.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -23,15 +24,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.columns import sample_by_label
+from starloom.llm.columns import drawn_texts
 from starloom.session import materialize
 
+logger = logging.getLogger(__name__)
+
+RESULTS = ("tokens", "posterior", "rate", "domain", "copies")
 BUCKETS = 2_048
 ROWS_PER_DOMAIN = 2_000
 MOST_DOMAINS = 32
 SMOOTHING = 0.5
 # The evidence of a text counts as that of so many words at most, which keeps memberships soft.
-EVIDENCE_WORDS = 64.0
+# A parameter of ``mix`` and ``posteriors``; None is plain naive Bayes.
+EVIDENCE_WORDS: float | None = 64.0
 # Pull of every rate to 1, against curvatures of about 1; most steps, and after how many the rates are
 # written down; share of all tokens by which no domain moves any more at the end.
 PULL, STEPS, STEPS_PER_WRITE, CLOSE = 0.001, 60, 6, 1e-5
@@ -59,13 +64,13 @@ def _bucket(word: Column) -> Column:
 def fit(rows: DataFrame, labelled: DataFrame, text: str = "nombre_raw", domain: str = "tipo", key: str = "row_id", rows_per_domain: int = ROWS_PER_DOMAIN) -> DomainModel:
     """Learn from about ``rows_per_domain`` labelled rows of each domain, drawn by the hash of ``key``.
 
-    The bound lets the drawn labels be broadcast, so texts are scanned and not shuffled.
+    Texts are scanned and not shuffled; of rows that repeat a key one text is learned from.
     """
     named = labelled.select(F.col(key).alias("key"), F.col(domain).cast("string").alias("domain"))
-    drawn, counts = sample_by_label(named, "domain", "key", rows_per_domain)
+    every = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    texts, counts = drawn_texts(every, named, "key", "domain", "text", rows_per_domain)
     if len(counts) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
-    texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
     found = texts.select("domain", F.explode(words(F.col("text"))).alias("word"))
     seen = found.groupBy("domain", _bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).collect()
     domains, total = sorted(counts), sum(counts.values())
@@ -76,11 +81,24 @@ def fit(rows: DataFrame, labelled: DataFrame, text: str = "nombre_raw", domain:
     return DomainModel(domains, [math.log(counts[d] / total) for d in domains], weights)
 
 
-def posteriors(df: DataFrame, model: DomainModel, key: str = "row_id", text: str = "nombre_raw", also: Sequence[str] = ()) -> DataFrame:
-    """``key``, the columns ``also``, ``tokens`` and the array ``posterior`` of every whole text."""
+def posteriors(
+    df: DataFrame,
+    model: DomainModel,
+    key: str = "row_id",
+    text: str = "nombre_raw",
+    also: Sequence[str] = (),
+    evidence_words: float | None = EVIDENCE_WORDS,
+) -> DataFrame:
+    """``key``, the columns ``also``, ``tokens`` and the array ``posterior`` of every whole text.
+
+    The log evidence of a text of more than ``evidence_words`` words is scaled down to that of
+    so many; with None the posteriors are those of plain naive Bayes. Of columns in ``also`` that
+    have the name of a result, the result is kept.
+    """
+    also = [c for c in also if c.lower() not in (*RESULTS, key.lower())]
     split = df.select(F.col(key).alias(key), *also, F.transform(words(F.col(text)), _bucket).alias("_buckets"))
     count = F.size("_buckets").cast("double")
-    scale = F.least(count, F.lit(EVIDENCE_WORDS)) / F.greatest(count, F.lit(1.0))
+    scale = F.lit(1.0) if evidence_words is None else F.least(count, F.lit(float(evidence_words))) / F.greatest(count, F.lit(1.0))
 
     def evidence(k: int) -> Column:
         weights = F.array(*[F.lit(w) for w in model.weights[k]])
@@ -95,7 +113,7 @@ def posteriors(df: DataFrame, model: DomainModel, key: str = "row_id", text: str
     return lifted.select(key, *also, "tokens", F.array(*[F.col(n) / whole for n in names]).cast("array<double>").alias("posterior"))
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
     """Rows with ``tokens`` and ``posterior``, and the ``rate`` of each.
 
     The steps minimise ``sum_k weight_k (total_k - target_k)^2 + pull * sum tokens (rate - 1)^2``
@@ -120,7 +138,7 @@ def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
     weight = [1.0 / max(curve[k][k], 1e-9 * largest) for k in domains]
     steepest = max(sum(curve[k][j] * math.sqrt(weight[k] * weight[j]) for j in domains) for k in domains)
     step = 1.0 / (steepest + PULL)
-    for number in range(1, STEPS + 1):
+    for number in range(1, steps + 1):
         missed = [t - g for t, g in zip(totals, goal, strict=True)]
         moved = sum((belongs[k] * F.lit(step * weight[k] * missed[k]) for k in domains), F.lit(-step * PULL))
         members = members.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * F.lit(1.0 - step * PULL) - moved))
@@ -128,8 +146,11 @@ def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
             members = materialize(members)
         sums = members.agg(*[F.sum(weigh[k] * F.col("rate")).alias(f"t{k}") for k in domains]).first()
         before, totals = totals, [sums[f"t{k}"] for k in domains]
-        if max(abs(t - b) for t, b in zip(totals, before, strict=True)) < CLOSE:
-            break
+        moving = max(abs(t - b) for t, b in zip(totals, before, strict=True))
+        if moving < CLOSE:
+            return members
+    missed = {k: round(t - g, 4) for k, (t, g) in enumerate(zip(totals, goal, strict=True))}
+    logger.warning("rates still move after %d steps; totals beside their targets, as shares of all tokens: %s", steps, missed)
     return members
 
 
@@ -164,6 +185,8 @@ def mix(
     budget: float | None = None,
     keep_all: bool = False,
     also: Sequence[str] = (),
+    evidence_words: float | None = EVIDENCE_WORDS,
+    steps: int = STEPS,
 ) -> DataFrame:
     """One row per input row: key, ``tokens``, ``posterior``, ``domain`` (the likeliest), ``rate`` and ``copies``.
 
@@ -171,15 +194,18 @@ def mix(
     as many as there are; with ``keep_all`` as many as spare every domain). A row is
     in the mix ``copies`` times: its rate rounded up with the chance of the
     fraction, by the hash of its key. With ``keep_all`` that is at least once.
-    Columns named in ``also`` are carried along.
+    Columns named in ``also`` are carried along. The fit ends after ``steps`` steps at the latest,
+    with a warning if the totals were still moving then.
     """
-    members = materialize(posteriors(df, model, key, text, also))
+    if key.lower() in RESULTS:
+        raise ValueError(f"the key must not have the name of a result: {key!r}")
+    members = materialize(posteriors(df, model, key, text, also, evidence_words))
     if not model.domains or not weights:
         members = members.withColumn("rate", F.lit(1.0))
     else:
         share = _shares(model, weights)
         tokens = budget or (whole_budget(members, model, weights) if keep_all else sum(_totals(members, model)))
-        members = fit_rates(members, [tokens * s for s in share])
+        members = fit_rates(members, [tokens * s for s in share], steps)
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
     names = F.array(*[F.lit(d) for d in model.domains]).cast("array<string>")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -4,9 +4,9 @@ For the project's staging tables: learns from staged texts (``nombre_raw``) with
 the verdict of the cleaners (``valido``: 1 if the row was kept, 0 if rejected)
 how likely an unseen text is a good one.
 
-A text is its words, the shapes of its words (letter case, digits, marks; a word
-equal to the one before is a shape of its own) and pairs of neighbouring shapes,
-hashed to 2^18 weights. Null and empty texts have no word and get the score of
+A text is its words, its pairs and triples of neighbouring words, the shapes of its
+words (letter case, digits, marks; a word equal to the one before is a shape of its
+own) and pairs of neighbouring shapes, hashed to 2^20 weights. Null and empty texts have no word and get the score of
 the bias alone. Rows without a label teach nothing; without any labelled row
 every score is 0.5. Equal texts get equal scores, other columns are kept, and
 columns that have the names of the results are replaced.
@@ -24,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.columns import by_slices, sample_by_label, share, struct_array, with_struct
+from starloom.llm.columns import by_slices, drawn_texts, share, struct_array, with_struct
 from starloom.llm.words import boundaries, combined, group_sums, slices, word_hashes, words_of
 from starloom.session import materialize
 
-BITS = 18
+BITS = 20
 ROWS_PER_LABEL = 8_000
 THRESHOLD = 0.3
 ROUNDS = 3
@@ -47,6 +47,18 @@ class QualityModel:
     weights: np.ndarray
 
 
+def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value of the word before each word; the first word of a text has a mark before it."""
+    out = np.concatenate((values[:1], values[:-1]))
+    out[first] = np.uint64(11)
+    return out
+
+
+def _runs(*neighbours: np.ndarray) -> np.ndarray:
+    """A hash of each word's run of neighbours."""
+    return combined(np.stack(neighbours, axis=1).ravel(), len(neighbours))[:: len(neighbours)]
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets, one row per kind of feature and one column per word; words per text."""
     words = words_of(texts)
@@ -58,10 +70,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for pattern, mark in ((r"\p{Lu}+", "X"), (r"\p{Ll}+", "x"), (r"\pN+", "9")):
         shapes = pc.replace_substring_regex(shapes, pattern, mark)
     shape = np.where(repeated, np.uint64(7), word_hashes(shapes)[words.codes])
-    before = np.concatenate((shape[:1], shape[:-1]))
-    before[first] = np.uint64(11)
-    pairs = combined(np.stack((before, shape), axis=1).ravel(), 2)[::2]
-    kinds = [word_hashes(words.distinct)[words.codes], shape, pairs]
+    hashes = word_hashes(words.distinct)[words.codes]
+    earlier = _before(hashes, first)
+    kinds = [
+        hashes,
+        shape,
+        _runs(_before(shape, first), shape),
+        _runs(earlier, hashes),
+        _runs(_before(earlier, first), earlier, hashes),
+    ]
     shift = np.uint64(64 - BITS)
     buckets = np.stack([(k * np.uint64(2 * i + 0x9E3779B97F4A7C15)) >> shift for i, k in enumerate(kinds)])
     return buckets.astype(np.int64), words.counts
@@ -112,18 +129,17 @@ def fit(
 ) -> QualityModel:
     """Learn from the texts of about ``rows_per_label`` verdicts of each label, drawn by the hash of ``key``.
 
-    The bound keeps tasks small and lets the drawn verdicts be broadcast, so the
-    texts are scanned once and not shuffled. In every round each of a few tasks
+    Texts are scanned once and not shuffled; of rows that repeat a key one text is
+    learned from. In every round each of a few tasks
     takes follow-the-leader steps over its rows from the common state, and the
     state moves by the mean of their changes; it is two numbers a bucket.
     """
-    named = verdicts.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    drawn, counts = sample_by_label(named.where(F.col("label").isin(0, 1)), "label", "key", rows_per_label)
+    named = verdicts.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    texts = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    drawn, counts = drawn_texts(texts, named, "key", "label", "text", rows_per_label)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     if counts:
-        texts = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-        sample = texts.join(F.broadcast(drawn), "key").select(F.xxhash64("key").alias("h"), "label", "text")
-        dealt = materialize(sample).repartition(LEARNERS, "h")
+        dealt = materialize(drawn.select(F.xxhash64("key").alias("h"), "label", "text")).repartition(LEARNERS, "h")
     for _ in range(rounds if counts else 0):
         shared = share(rows.sparkSession, (z, n))
         step = dealt.mapInArrow(partial(_learn_task, shared=shared), "bucket bigint, z double, n double")

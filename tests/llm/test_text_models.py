@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from llm.staged import ENGLISH, ODD_TEXTS, PIECES, SPANISH, frame, odd_rows, sentence
-from starloom.llm import fertility, language, quality_model
+from starloom.llm import fertility, language, mixing, quality_model
+from starloom.llm.columns import drawn_texts
 from starloom.llm.words import slices, words_of
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,3 +165,127 @@ def test_fertility_of_an_empty_table_and_clashing_columns(spark):
     rows = frame(spark, [(1, "a", "b")], "row_id bigint, nombre_raw string, script string")
     assert fertility.judge(fertility.measure(rows.limit(0), PIECES)).isEmpty()
     assert fertility.measure(rows, PIECES).first().script == "latin"
+
+
+def test_evidence_of_letters_at_random(spark):
+    """The posterior of noise is as high as any; its evidence is not."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, SPANISH if i % 2 else ENGLISH, 30), "es" if i % 2 else "en") for i in range(200)]
+    noise = ["".join(rng.choice("bcdfghjkqvwxzñ ") for _ in range(200)), "Привет мир это русский текст", "漢字 日本語"]
+    model = language.fit(frame(spark, rows, "row_id bigint, nombre_raw string, l string"), "nombre_raw", "l", "row_id")
+    judged = language.predict(frame(spark, [(i, t) for i, (_, t, _) in enumerate(rows)] + [(900 + i, t) for i, t in enumerate(noise)] + [(990, "")]), model, evidence=True)
+    found = {r.row_id: r for r in judged.collect()}
+    assert min(found[i].evidence for i in range(200)) > 3
+    assert max(found[900 + i].evidence for i in range(3)) < 1.5 and found[990].evidence == 0
+    assert max(found[900 + i].score for i in range(3)) > 0.9
+
+
+def test_labels_that_depend_on_a_phrase(spark):
+    """Good and bad texts hold the same words; only which word follows which differs."""
+    rng = random.Random(8)
+
+    def text(good):
+        words = [rng.choice(SPANISH[:9]) for _ in range(30)]
+        at = sorted(rng.sample(range(30), 2))
+        words[at[1] : at[1]] = ["actas", "finales"] if good else ["actas", "parciales"]
+        words[at[0] : at[0]] = ["notas", "parciales"] if good else ["notas", "finales"]
+        return " ".join(words)
+
+    rows = [(i, text(i % 2)) for i in range(1_200)]
+    model = quality_model.fit(frame(spark, rows), frame(spark, [(i, i % 2) for i in range(1_000)], "row_id bigint, valido int"))
+    judged = quality_model.predict(frame(spark, rows[1_000:]), model, threshold=0.5).collect()
+    assert sum(r.predicted == r.row_id % 2 for r in judged) >= 0.95 * len(judged)
+
+
+def test_an_id_with_very_many_rows_counts_once(spark):
+    """Labels and texts of one id join once, not every row with every row."""
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, SPANISH if i % 2 else ENGLISH, 12)) for i in range(40)] + [(7, sentence(rng, SPANISH, 12)) for _ in range(300)]
+    labels = frame(spark, [(i, "es" if i % 2 else "en") for i, _ in rows], "row_id bigint, l string")
+    drawn, counts = drawn_texts(frame(spark, rows), labels, "row_id", "l", "nombre_raw", 50)
+    assert counts == {"es": 20, "en": 20}
+    assert drawn.count() == 40 and drawn.groupBy("row_id").count().where("count > 1").isEmpty()
+
+
+def plain_language(learned, texts):
+    """Naive Bayes over the model's n-gram buckets, with dictionaries."""
+    counts, rows = defaultdict(Counter), Counter()
+    for text, label in learned:
+        buckets, _ = language.grams(pa.array([text], pa.large_string()))
+        counts[label].update(buckets.ravel().tolist())
+        rows[label] += 1
+    labels = sorted(counts)
+    size = 1 << language.BITS
+    out = []
+    for text in texts:
+        found = language.grams(pa.array([text], pa.large_string()))[0].ravel().tolist()
+        logs = []
+        for label in labels:
+            total = sum(counts[label].values()) + language.SMOOTHING * size
+            logs.append(math.log(rows[label] / len(learned)) + sum(math.log((counts[label][b] + language.SMOOTHING) / total) for b in found))
+        best = max(logs)
+        out.append((labels[logs.index(best)], 1 / sum(math.exp(x - best) for x in logs)))
+    return out
+
+
+def test_language_against_plain_counts(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    learned = [(t, l) for i, t, l in rows if l is not None and t and len(t) < 1_500][:60]
+    texts = [t[:300] for _, t, _ in rows if t and any(c.isalpha() for c in t[:300])][:40]
+    model = language.fit(frame(spark, [(i, t, l) for i, (t, l) in enumerate(learned)], "row_id bigint, nombre_raw string, l string"), "nombre_raw", "l", "row_id")
+    judged = {r.row_id: r for r in language.predict(frame(spark, list(enumerate(texts))), model).collect()}
+    for i, (label, score) in enumerate(plain_language(learned, texts)):
+        assert judged[i].lang_pred == label and abs(judged[i].score - score) < 1e-3
+
+
+def plain_quality(model, text):
+    """The score of one text as a sum over its n-grams, one by one."""
+    buckets, counts = quality_model.features(pa.array([text], pa.large_string()))
+    margin = model.bias + sum(float(model.weights[b]) for b in buckets.ravel().tolist()) * quality_model.SCALE / max(1, int(counts[0]))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
+
+
+def test_quality_scores_against_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    model = quality_model.fit(docs, labels, "text", "quality", "doc_id")
+    for r in quality_model.predict(docs, model, "text").where("doc_id % 10 = 3 or text is null").collect():
+        assert abs(r.score - plain_quality(model, r.text or "")) < 1e-5
+
+
+def plain_rates(weigh, belongs, targets, pull, steps):
+    """The same projected steps by numpy, over all rates at once."""
+    curve = weigh.T @ belongs
+    weight = 1 / np.maximum(np.diag(curve), 1e-9 * np.abs(curve).sum(axis=1).max())
+    rate = np.ones(len(weigh))
+    step = 1 / (max((curve[k] * np.sqrt(weight[k] * weight)).sum() for k in range(len(curve))) + pull)
+    for _ in range(steps):
+        missed = weigh.T @ rate - targets
+        rate = np.maximum(0, rate * (1 - step * pull) + step * pull - step * (belongs * (weight * missed)).sum(axis=1))
+    return rate
+
+
+def test_rates_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(1, 80, 120).astype(float)
+    belongs = rng.dirichlet([0.4, 0.6, 0.9], 120)
+    members = frame(spark, [(int(i), float(t), [float(x) for x in b]) for i, (t, b) in enumerate(zip(tokens, belongs, strict=True))], "row_id bigint, tokens double, posterior array<double>")
+    targets = np.array([0.6, 0.3, 0.1]) * tokens.sum()
+    scale = max(targets.sum(), 1.0)
+    expected = plain_rates(tokens[:, None] * belongs / scale, belongs, targets / scale, mixing.PULL, 40)
+    found = {r.row_id: r.rate for r in mixing.fit_rates(members, targets.tolist(), steps=40).collect()}
+    assert max(abs(found[i] - expected[i]) for i in range(120)) < 1e-6
+    reached = sum(tokens[i] * found[i] * belongs[i] for i in range(120)) / scale
+    assert abs(reached - targets / scale).max() < 0.05
+
+
+def test_plain_posteriors(spark):
+    """Without a bound on the evidence the posteriors are those of naive Bayes, whatever the length."""
+    rows = [(0, "curso de final"), (1, "the final course " * 100), (2, ""), (3, None)]
+    model = mixing.fit(frame(spark, [(i, sentence(random.Random(i), SPANISH if i % 2 else ENGLISH, 9)) for i in range(60)]), frame(spark, [(i, "es" if i % 2 else "en") for i in range(60)], "row_id bigint, tipo string"))
+    hashed = {w: b for w, b in spark.sql(f"select w, cast(pmod(xxhash64(w), {mixing.BUCKETS}) as int) b from (select explode(split('curso de final the course', ' ')) w)").collect()}
+    for r in mixing.posteriors(frame(spark, rows), model, evidence_words=None, also=["nombre_raw"]).collect():
+        logs = [model.prior[k] + sum(model.weights[k][hashed[w]] for w in (r.nombre_raw or "").split()) for k in range(2)]
+        assert abs(r.posterior[0] - 1 / (1 + math.exp(min(700, logs[1] - logs[0])))) < 1e-6
+    clash = frame(spark, [(1, "curso", 5)], "row_id bigint, nombre_raw string, tokens int")
+    assert mixing.mix(clash, model, {"es": 1.0}, also=["tokens"]).first().tokens == 1
