@@ -11,7 +11,9 @@ from starloom.llm import language, mixing, near_duplicates, quality_model, vecto
 from starloom.llm.queries import WORDS, labelled_languages, packed_digest, present, remainder, table
 from starloom.session import configure, materialize
 
-LEAST_LANGUAGE_SCORE = 0.5
+# A posterior of languages, and the mean logarithm by which an n-gram is likelier in the language than
+# by chance. Learned languages lie above 3, letters at random and unknown scripts below 0.
+LEAST_LANGUAGE_SCORE, LEAST_LANGUAGE_EVIDENCE = 0.5, 1.5
 # Target shares of the mix; with every document kept, the others are repeated up to them.
 WEIGHTS = {"en": 0.50, "de": 0.18, "es": 0.14, "fr": 0.18}
 
@@ -21,11 +23,11 @@ SIMILAR_PERCENT, PER_BAND = 80, 6
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the language can be told."""
+    """Documents of which the language can be told, and that look like text of that language."""
     model = language.fit(docs.where(remainder("doc_id", 3) != 1), "text", "lang", "doc_id")
-    judged = language.predict(docs, model, "text")
+    judged = language.predict(docs, model, "text", evidence=True)
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(known).select(*docs.columns)
+    return judged.where(known & (F.col("evidence") >= LEAST_LANGUAGE_EVIDENCE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
