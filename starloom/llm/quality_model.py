@@ -4,9 +4,9 @@ For the project's staging tables: learns from staged texts (``nombre_raw``) with
 the verdict of the cleaners (``valido``: 1 if the row was kept, 0 if rejected)
 how likely an unseen text is a good one.
 
-A text is its words, its pairs and triples of neighbouring words, the shapes of its
-words (letter case, digits, marks; a word equal to the one before is a shape of its
-own) and pairs of neighbouring shapes, hashed to 2^20 weights. Null and empty texts have no word and get the score of
+A text is its words, its pairs of neighbouring words, the shapes of its words (letter
+case, digits, marks; a word equal to the one before is a shape of its own) and pairs
+of neighbouring shapes, hashed to 2^18 weights. Null and empty texts have no word and get the score of
 the bias alone. Rows without a label teach nothing; without any labelled row
 every score is 0.5. Equal texts get equal scores, other columns are kept, and
 columns that have the names of the results are replaced.
@@ -28,7 +28,7 @@ from starloom.llm.columns import by_slices, drawn_texts, share, struct_array, wi
 from starloom.llm.words import boundaries, combined, group_sums, slices, word_hashes, words_of
 from starloom.session import materialize
 
-BITS = 20
+BITS = 18
 ROWS_PER_LABEL = 8_000
 THRESHOLD = 0.3
 ROUNDS = 3
@@ -71,14 +71,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         shapes = pc.replace_substring_regex(shapes, pattern, mark)
     shape = np.where(repeated, np.uint64(7), word_hashes(shapes)[words.codes])
     hashes = word_hashes(words.distinct)[words.codes]
-    earlier = _before(hashes, first)
-    kinds = [
-        hashes,
-        shape,
-        _runs(_before(shape, first), shape),
-        _runs(earlier, hashes),
-        _runs(_before(earlier, first), earlier, hashes),
-    ]
+    kinds = [hashes, shape, _runs(_before(shape, first), shape), _runs(_before(hashes, first), hashes)]
     shift = np.uint64(64 - BITS)
     buckets = np.stack([(k * np.uint64(2 * i + 0x9E3779B97F4A7C15)) >> shift for i, k in enumerate(kinds)])
     return buckets.astype(np.int64), words.counts
@@ -114,7 +107,12 @@ def _learn_task(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
                 at += 1
     changed = np.flatnonzero((z != z0) | (n != n0))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(changed), pa.array((z - z0)[changed]), pa.array((n - n0)[changed])], ["bucket", "z", "n"]
+        [
+            pa.array(changed.astype(np.int32)),
+            pa.array((z - z0)[changed].astype(np.float32)),
+            pa.array((n - n0)[changed].astype(np.float32)),
+        ],
+        ["bucket", "z", "n"],
     )
 
 
@@ -142,7 +140,7 @@ def fit(
         dealt = materialize(drawn.select(F.xxhash64("key").alias("h"), "label", "text")).repartition(LEARNERS, "h")
     for _ in range(rounds if counts else 0):
         shared = share(rows.sparkSession, (z, n))
-        step = dealt.mapInArrow(partial(_learn_task, shared=shared), "bucket bigint, z double, n double")
+        step = dealt.mapInArrow(partial(_learn_task, shared=shared), "bucket int, z float, n float")
         moved = step.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         bucket = moved.column("bucket").to_numpy()
         z[bucket] += moved.column("z").to_numpy() / LEARNERS
