@@ -9,13 +9,13 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators import attempts, dimensions, facts, keys, merge, repoint, scd, snapshot, watermark
+from starloom.operators import attempts, constraints, dimensions, facts, keys, merge, repoint, scd, snapshot, watermark
 from starloom.operators.dedupe import drop_mapped, remap
 from starloom.operators.groups import AFTER, BEFORE
 from starloom.operators.joins import keep_matching
 from starloom.plans import university as u
 from starloom.plans.duplicate_maps import Maps, refresh_maps
-from starloom.plans.initial_load import ATTEMPT_COLUMNS
+from starloom.plans.initial_load import ATTEMPT_COLUMNS, BUCKET_KEYS
 from starloom.session import materialize, scratch, side_by_side
 from starloom.sources.audit import AuditLog
 from starloom.sources.store import TableStore
@@ -24,6 +24,8 @@ OFFERING_LOOKUPS = ("cursos", "docentes", "departamentos", "facultades")
 LOOKUPS = ("programas", *OFFERING_LOOKUPS)
 # A part of a table with more folders than this is written anew as one.
 MOST_FOLDERS = 32
+# Broken rules that an error carries, and that its message shows.
+MOST_VIOLATIONS, SHOWN_VIOLATIONS = 1_000, 10
 
 
 @dataclass(frozen=True)
@@ -345,6 +347,33 @@ def new_exams(
     return accepted, attempts.history_counts(known, accepted).first().asDict()
 
 
+class BrokenRules(RuntimeError):
+    """What a run has written breaks rules of the warehouse, so nothing of it is published."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+        shown = "; ".join(f"{r.tabla} {r.regla}: {r.clave} ({r.filas})" for r in rows[:SHOWN_VIOLATIONS])
+        super().__init__(f"{shown}{' ...' if len(rows) > SHOWN_VIOLATIONS else ''}")
+
+
+def violations(warehouse: TableStore) -> DataFrame:
+    """Rules that the rows written and not yet published break."""
+
+    def read(table: str, keys: DataFrame) -> DataFrame:
+        by_bucket = BUCKET_KEYS.get(table) in keys.columns
+        return warehouse.read_keys(table, keys) if by_bucket else warehouse.read(table)
+
+    empty = warehouse.spark.createDataFrame([], constraints.VIOLATIONS)
+    return constraints.violations(u.CONSTRAINTS, warehouse.pending_rows(), read, empty)
+
+
+def check_rules(warehouse: TableStore) -> None:
+    """Stop before publishing if a rule is broken; the error lists the offending keys, up to a number."""
+    rows = violations(warehouse).orderBy("tabla", "regla", "clave").limit(MOST_VIOLATIONS).collect()
+    if rows:
+        raise BrokenRules(rows)
+
+
 def run_incremental(
     staging: TableStore,
     warehouse: TableStore,
@@ -358,8 +387,8 @@ def run_incremental(
     """Load everything staged since the last good run.
 
     All tables are published together at the end, the duplicate maps of staging just
-    before the warehouse. A failed run publishes nothing, is logged with its error,
-    and leaves the watermark and the version where they were. See ``Options`` for
+    before the warehouse, if the new rows keep the rules of the warehouse. A failed run
+    publishes nothing, is logged with its error, and leaves the watermark and the version where they were. See ``Options`` for
     ``snapshots`` and ``move_absorbed``.
     """
     began = began or dt.datetime.now()
@@ -377,6 +406,7 @@ def run_incremental(
             if total or compared:
                 maps = refresh_maps(staging, deltas, version, seen)
                 report = apply_deltas(staging, warehouse, deltas, sizes, as_of, options, maps, compared)
+                check_rules(warehouse)
                 for store in (warehouse, staging):
                     for table in {**store.parts, **store.buckets}:
                         store.compact(table, MOST_FOLDERS)

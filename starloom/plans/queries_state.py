@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators import attempts, groups, repoint, snapshot
+from starloom.functions import digit_mask
+from starloom.operators import attempts, constraints, groups, repoint, sketches, snapshot
 from starloom.operators.dedupe import KEPT_ID, REPEATED_ID, duplicate_map
 from starloom.plans import queries_dedupe as dedupe
 from starloom.plans.registry import REGISTRY, Tables
@@ -177,3 +180,74 @@ def attempt_history_counts(t: Tables) -> DataFrame:
     """Attempts that the history lets in, and those it turns away."""
     offered = t.lineitem.where(F.col("l_shipdate") >= F.lit(dedupe.HISTORY_CUT))
     return attempts.history_counts(offered, dedupe.attempt_history_filter(t))
+
+
+BATCH = dt.date(1998, 1, 1)
+MOST_PRICE = 300_000
+
+
+@query(
+    "constraint_violations",
+    f"""
+    WITH b AS (SELECT * FROM orders WHERE o_orderdate >= DATE '{BATCH}')
+    SELECT 'orders' AS tabla, 'unica(o_custkey, o_orderpriority)' AS regla, o_custkey || ', ' || o_orderpriority AS clave, count(*) AS filas
+    FROM orders WHERE o_orderstatus = 'O' AND EXISTS (
+      SELECT 1 FROM b WHERE b.o_custkey = orders.o_custkey AND b.o_orderpriority = orders.o_orderpriority AND b.o_orderstatus = 'O')
+    GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'orders', 'existe(o_custkey en customer)', CAST(o_custkey AS VARCHAR), count(*) FROM b
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY ALL
+    UNION ALL SELECT 'orders', 'cumple(o_totalprice <= {MOST_PRICE})', CAST(o_orderkey AS VARCHAR), count(*) FROM b WHERE o_totalprice > {MOST_PRICE} GROUP BY ALL
+    """,
+)
+def constraint_violations(t: Tables) -> DataFrame:
+    """What a batch of orders would break: open ones of a customer repeated, customers in debt, too high prices."""
+    batch = t.orders.where(F.col("o_orderdate") >= F.lit(BATCH))
+    stored = {"orders": t.orders, "customer": t.customer.where("c_acctbal >= 0")}
+    rules = [
+        constraints.Unique("orders", ("o_custkey", "o_orderpriority"), "o_orderstatus = 'O'"),
+        constraints.References("orders", ("o_custkey",), "customer", ("c_custkey",)),
+        constraints.Holds("orders", ("o_orderkey",), f"o_totalprice <= {MOST_PRICE}"),
+        constraints.Holds("customer", ("c_custkey",), "false"),  # not touched, so not looked at
+    ]
+    empty = t.spark.createDataFrame([], constraints.VIOLATIONS)
+    return constraints.violations(rules, {"orders": batch}, lambda table, keys: stored[table], empty)
+
+
+@query(
+    "profile_sketches",
+    """
+    SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderpriority']) AS "column", count(*) AS rows, 0 AS missing,
+           TRUE AS distinct_close, TRUE AS quantiles_close, TRUE AS patterns_close
+    FROM orders GROUP BY 1
+    """,
+)
+def profile_sketches(t: Tables) -> DataFrame:
+    """Sketches of each year's orders, merged; whether they are as close to the exact figures as they promise."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    bounds = [dt.date(1900, 1, 1), *ARRIVALS, dt.date(3000, 1, 1)]
+    parts = [
+        sketches.sketch_columns(t.orders.where(F.col("o_orderdate").between(F.lit(low), F.date_sub(F.lit(high), 1))), columns)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True)
+    ]
+    found = materialize(sketches.estimates(sketches.merge_sketches(reduce(DataFrame.unionByName, parts))))
+    numbers = {c for c, kind in t.orders.dtypes if kind != "string"}
+    checked = []
+    for name in columns:
+        measure = F.col(name).cast("double") if name in numbers else F.length(name).cast("double")
+        values = t.orders.select(F.col(name).alias("v"), measure.alias("m"), digit_mask(F.col(name).cast("string")).alias("p"))
+        told = found.where(F.col("column") == name).first()
+        # The share of rows below a quantile, and up to it, has the share asked for within the error.
+        near = [
+            (F.avg((F.col("m") < x).cast("int")) <= q + sketches.RANK_ERROR) & (F.avg((F.col("m") <= x).cast("int")) >= q - sketches.RANK_ERROR)
+            for q, x in zip(sketches.QUANTILES, told.quantiles, strict=True)
+        ]
+        counted = [F.abs(F.count_if(F.col("p") == p.pattern) - p.rows) <= sketches.PATTERN_ERROR * F.count("p") for p in told.patterns]
+        exact = F.countDistinct("v")
+        checked.append(
+            values.agg(
+                (F.abs(exact - told.distinct) <= sketches.DISTINCT_ERROR * exact).alias("distinct_close"),
+                reduce(and_, near).alias("quantiles_close"),
+                reduce(and_, counted).alias("patterns_close"),
+            ).select(F.lit(name).alias("column"), F.lit(told.rows).alias("rows"), F.lit(told.missing).alias("missing"), "*")
+        )
+    return reduce(DataFrame.unionByName, checked)

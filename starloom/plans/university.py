@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from starloom import functions as fn
 from starloom.operators import dimensions, facts, quality
 from starloom.operators.cascade import CascadeColumns
+from starloom.operators.constraints import Holds, References, Unique
 from starloom.operators.dedupe import keep_one
 from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
 from starloom.operators.keys import current_key_map
@@ -99,6 +100,28 @@ FACT_SURROGATES = {
     "fact_evaluacion_dictado": "evalDicSKey",
 }
 
+# Keys, references and conditions of the warehouse tables.
+CONSTRAINTS = (
+    Unique("dim_tiempo", ("tiempoSKey",)),
+    Unique("dim_estudiante", ("alumnoSKey",)),
+    Unique("dim_estudiante", ("idalumno",), "es_actual"),
+    Holds("dim_estudiante", ("alumnoSKey",), "valid_to >= valid_from"),
+    Unique("dim_dictado", ("dictadoSKey",)),
+    Unique("dim_dictado", ("idDictado",), "es_actual"),
+    Holds("dim_dictado", ("dictadoSKey",), "valid_to >= valid_from"),
+    *[Unique(table, tuple(columns)) for table, columns in FACT_KEYS.items() if columns],
+    *[
+        References(table, (key,), parent, (key,))
+        for table, parents in (
+            ("fact_inscripcion", ("alumnoSKey", "tiempoSKey", "dictadoSKey")),
+            ("fact_examen_estudiante", ("alumnoSKey", "tiempoSKey", "dictadoSKey")),
+            ("fact_evaluacion_dictado", ("tiempoSKey", "dictadoSKey")),
+        )
+        for key in parents
+        for parent in ({"alumnoSKey": "dim_estudiante", "tiempoSKey": "dim_tiempo", "dictadoSKey": "dim_dictado"}[key],)
+    ],
+)
+
 # Enrollment states that count as dropping out.
 DROPOUT_STATES = ("abandonada", "abandonado", "abandono", "baja")
 PASSED_RESULT = "aprobado"

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,18 @@ from pyspark.sql.types import StructType
 PUBLISHED = "published"
 _PUBLISHED_SCHEMA = "version bigint, tabla string, rutas array<string>, etiqueta string, mayor bigint"
 _PART = "parte"
+_ASIDE = "_publicando"
 # The number of a part is its group times this, plus its bucket.
 _GROUP = 10_000
 
 
+class ConflictingWriter(RuntimeError):
+    """Another writer has published a version since this one read the state."""
+
+
 @dataclass
 class TableStore:
-    """A set of tables whose new states become visible together (one writer at a time).
+    """A set of tables whose new states become visible together.
 
     A state is a list of folders per table. Writers put files into new folders
     only, so a path that is being read is never overwritten, and an append does
@@ -185,18 +192,52 @@ class TableStore:
         kept = [f for f in self._folders(table) if not _in_parts(f, values)]
         self._pending[table] = [*kept, *self._write(table, df)]
 
+    def pending_rows(self) -> dict[str, DataFrame]:
+        """The rows of files written and not yet published, by table; rewritten rows are among them."""
+        published = self._published()[1]
+        new = {t: [f for f in folders if f not in set(published.get(t, []))] for t, folders in self._pending.items()}
+        return {table: self._open(table, folders) for table, folders in new.items() if folders}
+
     def publish(self, label: str | None = None) -> int:
-        """Make everything written so far visible; returns the version."""
+        """Make everything written so far visible; returns the version.
+
+        Each version is one file that can be created once: of two writers that started from the
+        same version the second is refused with ``ConflictingWriter``, and its changes are dropped.
+        """
         version = self._published()[0]
         if self._pending:
             version += 1
             tops = self._published()[2] | self._tops
             rows = [(version, table, folders, label, tops.get(table)) for table, folders in self._pending.items()]
-            log = self.spark.createDataFrame(rows, _PUBLISHED_SCHEMA)
-            log.coalesce(1).write.mode("append").parquet(f"{self.root}/{PUBLISHED}")
+            try:
+                self._create_version(version, self.spark.createDataFrame(rows, _PUBLISHED_SCHEMA))
+            except BaseException:
+                self.discard()
+                raise
         self.discard()
         return version
 
+    def _create_version(self, version: int, log: DataFrame) -> None:
+        """Write the log of a version aside and give it its name, which fails if the name is taken."""
+        context = self.spark.sparkContext
+        hadoop, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+        aside = hadoop.Path(f"{self.root}/{_ASIDE}/{uuid.uuid4().hex}")
+        log.coalesce(1).write.parquet(aside.toString())
+        files = aside.getFileSystem(conf)
+        target = files.makeQualified(hadoop.Path(f"{self.root}/{PUBLISHED}/version-{version:09d}.parquet"))
+        files.mkdirs(target.getParent())
+        written = next(s.getPath() for s in files.listStatus(aside) if s.getPath().getName().startswith("part-"))
+        plain = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            # Renaming without the option to overwrite is one step that only one of two writers can make.
+            hadoop.FileContext.getFileContext(target.toUri(), conf).rename(written, target, plain)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                raise ConflictingWriter(f"version {version} of {self.root} was published by another writer") from error
+            raise
+        finally:
+            files.delete(aside, True)
+
     def was_published(self, label: str) -> bool:
         """Whether a version with this label exists, to skip work that is repeated."""
         try:

@@ -15,7 +15,7 @@ from starloom.plans import duplicate_maps as maps
 from starloom.plans import university as u
 from starloom.plans.incremental import merge_dimension, run_incremental
 from starloom.plans.initial_load import BUCKETS, open_warehouse, run_full_load
-from starloom.sources.store import TableStore, bucket
+from starloom.sources.store import ConflictingWriter, TableStore, bucket
 from test_university import World
 
 STUDENTS, ENROLLMENTS = u.staging_name("estudiante"), u.staging_name("inscripcion")
@@ -247,3 +247,53 @@ def test_a_changed_student_rewrites_one_bucket(spark, tmp_path):
     versions = warehouse.read("dim_estudiante").where("idalumno = 17").orderBy("alumnoSKey").collect()
     assert [(v.alumnoSKey, v.es_actual, v.nombrePrograma) for v in versions] == [(17, False, "P"), (400, True, "Q")]
     assert set(warehouse.read("dim_estudiante").columns) == set(names)
+
+
+def test_of_two_writers_the_second_is_refused(spark, tmp_path):
+    def store():
+        return TableStore(spark, str(tmp_path / "s"), {"t": "k int", "u": "k int"})
+
+    rows = spark.createDataFrame([(1,)], "k int")
+    first, second = store(), store()
+    first.append("t", rows)
+    second.append("u", rows)
+    assert first.publish() == 1
+    with pytest.raises(ConflictingWriter, match="version 1"):
+        second.publish()
+    # Its changes are dropped, and it goes on from the state of the other one.
+    assert second.publish() == 1 and second.read("t").count() == 1 and second.read("u").count() == 0
+    second.append("u", rows)
+    assert second.publish() == 2
+    with pytest.raises(ConflictingWriter), first.transaction():
+        first.append("t", rows)
+        other = store()
+        other.append("t", rows)
+        other.publish()
+    assert store().version() == 3 and store().read("t").count() == 2
+    assert not list((tmp_path / "s" / "_publicando").glob("*"))
+
+
+def test_a_batch_that_breaks_rules_publishes_nothing(loaded, monkeypatch):
+    """Facts that repeat a key and miss a parent are listed with their keys."""
+    from starloom.plans import incremental
+
+    for store in (loaded.staging, loaded.warehouse):
+        store.discard()
+    counts = {t: loaded.warehouse.read(t).count() for t in loaded.warehouse.schemas}
+    deliver(loaded, "inscripcion", dt.datetime(2026, 9, 5, 8), (7100009, 7000005, 8000001, "2026-05-10", "Activa"))
+    merge = incremental.merge_fact
+
+    def broken(warehouse, table, rows, update):
+        twice = rows.unionByName(rows).withColumn("dictadoSKey", F.lit(987654).cast("bigint"))
+        warehouse.append(table, twice.withColumn(u.FACT_SURROGATES[table], F.lit(1).cast("bigint")))
+        return {"insertados": 0, "actualizados": 0}
+
+    monkeypatch.setattr(incremental, "merge_fact", broken)
+    with pytest.raises(incremental.BrokenRules) as failure:
+        run_incremental(loaded.staging, loaded.warehouse, loaded.audit, dt.datetime(2026, 9, 5, 9), dt.date(2026, 9, 5))
+    monkeypatch.setattr(incremental, "merge_fact", merge)
+    found = {(r.tabla, r.regla.split("(")[0], r.clave.split(", ")[-1], r.filas) for r in failure.value.rows}
+    assert found == {("fact_inscripcion", "unica", "987654", 2), ("fact_inscripcion", "existe", "987654", 2)}
+    assert {t: loaded.warehouse.read(t).count() for t in counts} == counts
+    assert "fact_inscripcion" in loaded.audit.runs().orderBy(F.desc("id")).first().mensaje_error
+    assert run_incremental(loaded.staging, loaded.warehouse, loaded.audit, dt.datetime(2026, 9, 5, 10), dt.date(2026, 9, 5)).delta_rows == 1
