@@ -466,3 +466,26 @@ def evaluation_dates_of_offerings(t: Tables) -> DataFrame:
     calendar = academic_calendar(offerings(t), "id_dictado_raw", "periodo_raw", "anio_academico_raw", ["row_id"])
     spaced = t.events.select("event_id", F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("id_dictado_raw"))
     return add_evaluation_date(spaced, calendar, "id_dictado_raw", AS_OF.isoformat()).select("event_id", "fecha_evaluacion")
+
+
+@query(
+    "evaluations_in_turn",
+    f"""
+    WITH e AS ({ENROLLMENTS_SQL}),
+    h AS (SELECT *, row_number() OVER (PARTITION BY id_dictado ORDER BY id_inscripcion) - 1 AS turn, count(*) OVER (PARTITION BY id_dictado) AS n FROM e),
+    v AS (SELECT *, row_number() OVER (PARTITION BY id_dictado ORDER BY id_evaluacion) - 1 AS place FROM ({EVALUATIONS_SQL})),
+    c AS (SELECT p_partkey AS id_dictado, CASE WHEN p_partkey % 2 = 0 THEN DATE '2020-07-15' ELSE DATE '2020-12-15' END AS day FROM part WHERE p_size > 25)
+    SELECT id_evaluacion, v.id_dictado, h.id_inscripcion, h.id_estudiante, h.id_inscripcion IS NOT NULL AS asignada,
+           CASE WHEN h.id_inscripcion IS NOT NULL THEN coalesce(c.day, h.fecha_inscripcion + 90) END AS fecha_evaluacion
+    FROM v LEFT JOIN (SELECT DISTINCT id_dictado, n FROM h) s ON s.id_dictado = v.id_dictado
+    LEFT JOIN h ON h.id_dictado = v.id_dictado AND h.turn = v.place % s.n LEFT JOIN c ON c.id_dictado = v.id_dictado
+    """,
+)
+def evaluations_in_turn(t: Tables) -> DataFrame:
+    """Evaluations given to the students of their offering; only offerings with room for many have a calendar."""
+    roomy = offerings(t).where(F.col("cupo_maximo_raw").cast("int") > 15)
+    calendar = academic_calendar(roomy, "id_dictado_raw", "periodo_raw", "anio_academico_raw", ["row_id"])
+    known = calendar.select(F.col("id_dictado_raw").cast("bigint").alias("id_dictado"), "fecha_evaluacion")
+    clean = [u.ENTITIES[name].clean(df).drop("row_id") for name, df in (("evaluaciones", evaluations(t)), ("inscripciones", enrollments(t)))]
+    columns = ["id_evaluacion", "id_dictado", "id_inscripcion", "id_estudiante", "asignada", "fecha_evaluacion"]
+    return u.evaluations_in_turn(*clean, known).select(columns)

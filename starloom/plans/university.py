@@ -16,7 +16,7 @@ from starloom.operators.cascade import CascadeColumns
 from starloom.operators.constraints import Holds, References, Unique
 from starloom.operators.dedupe import keep_one
 from starloom.operators.joins import flatten_chain, missing_references, skew_safe_join
-from starloom.operators.keys import current_key_map
+from starloom.operators.keys import assign_in_turn, current_key_map
 from starloom.operators.scd import ScdPolicy
 
 # Columns of each source extract, in file order.
@@ -432,6 +432,27 @@ def dates_of(enrollments: DataFrame, exams: DataFrame, evaluations: DataFrame) -
     )
 
 
+# Fixed value: days from an enrollment to its evaluation where the offering has no calendar.
+DAYS_TO_EVALUATION = 90
+
+
+def evaluations_in_turn(evaluations: DataFrame, enrollments: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Anonymous evaluations with a student each, by the documented rule.
+
+    The evaluations of an offering go to its enrollments in turn, both in the order of their ids,
+    over again if there are more evaluations. The date is that of the offering's ``calendar``
+    (``id_dictado``, ``fecha_evaluacion``), else the enrollment's date plus 90 days. Evaluations of
+    offerings without enrollments keep a null student and are not ``asignada``.
+    """
+    holders = enrollments.select("id_dictado", "id_inscripcion", "id_estudiante", "fecha_inscripcion")
+    anonymous = evaluations.drop("fecha_evaluacion", *[c for c in holders.columns if c != "id_dictado"])
+    given = assign_in_turn(anonymous, holders, ["id_dictado"], "id_evaluacion", "id_inscripcion")
+    dated = skew_safe_join(given, calendar.select("id_dictado", F.col("fecha_evaluacion").cast("date").alias("fecha_evaluacion")), ["id_dictado"])
+    late = F.date_add("fecha_inscripcion", DAYS_TO_EVALUATION)
+    assigned = F.col("id_inscripcion").isNotNull()
+    return dated.withColumns({"fecha_evaluacion": F.when(assigned, F.coalesce("fecha_evaluacion", late)), "asignada": assigned})
+
+
 def student_references(students: DataFrame, programmes: DataFrame) -> DataFrame:
     """Students whose programme is unknown, as a row of branch and count."""
     joined = skew_safe_join(students.drop("row_id"), programmes.drop("row_id"), ["id_programa"])

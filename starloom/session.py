@@ -58,10 +58,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 _scratch_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
 
+# Folders of this process outside of any ``scratch`` block, by application.
+_left: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
-    base = _scratch_folder.get() or spark.sparkContext.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
+    inside = _scratch_folder.get()
+    folder = f"{inside or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    if not inside:
+        _left.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete what was materialized outside of ``scratch`` blocks; how many folders there were.
+
+    Queries and operators that return frames leave the files these read. Call this when all
+    frames of the session have been read or stored: they cannot be read afterwards.
+    """
+    folders = _left.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        _delete(spark, folder)
+    return len(folders)
 
 
 @contextmanager
@@ -73,8 +97,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scratch_folder.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:

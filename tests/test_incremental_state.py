@@ -280,7 +280,8 @@ def test_a_batch_that_breaks_rules_publishes_nothing(loaded, monkeypatch):
     for store in (loaded.staging, loaded.warehouse):
         store.discard()
     counts = {t: loaded.warehouse.read(t).count() for t in loaded.warehouse.schemas}
-    deliver(loaded, "inscripcion", dt.datetime(2026, 9, 5, 8), (7100009, 7000005, 8000001, "2026-05-10", "Activa"))
+    student = loaded.warehouse.read("dim_estudiante").where("es_actual and idalumno < 7000000").agg(F.min("idalumno")).first()[0]
+    deliver(loaded, "inscripcion", dt.datetime(2026, 9, 5, 8), (7100009, student, 8000001, "2026-05-10", "Activa"))
     merge = incremental.merge_fact
 
     def broken(warehouse, table, rows, update):

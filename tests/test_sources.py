@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import shutil
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +229,24 @@ def test_periodic_cycle(spark, tmp_path):
     assert clock.exception() is None
     first = audit.runs().orderBy("id").first()
     assert (first.estado, first.registros_delta) == ("OK", 7)
+
+
+def test_materialized_files_can_be_cleared(tmp_path):
+    """In a process of its own: the files of frames that others still read must stay."""
+    script = f"""
+import os
+from starloom.session import build_session, clear_materialized, materialize, scratch
+spark = build_session("clear", "local[2]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r}}})
+assert materialize(spark.range(5)).count() == 5
+with scratch(spark):
+    materialize(spark.range(5))
+materialize(spark.range(7))
+base = spark.sparkContext.getCheckpointDir()
+fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+left = lambda: len(fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs.Path(base)))
+assert left() == 2, left()
+assert clear_materialized(spark) >= 2 and left() == 0 and clear_materialized(spark) == 0
+print("cleared")
+"""
+    ran = subprocess.run([sys.executable, "-c", script], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
+    assert "cleared" in ran.stdout, ran.stderr[-2000:]
