@@ -133,19 +133,25 @@ def preload_report(staging: TableStore, folder: str) -> DataFrame:
     return check_sources(staging.spark, folder).join(F.broadcast(rows), "tabla")
 
 
-def clean_all(staging: TableStore) -> dict[str, DataFrame]:
-    """Every entity, cleaned once and written down as typed columns."""
+def type_all(staging: TableStore) -> dict[str, DataFrame]:
+    """Every staged row of every entity with typed columns, written down: staging is read and cleaned once."""
 
-    def clean(entity: u.Entity) -> DataFrame:
-        return materialize(entity.clean(staging.read(u.staging_name(entity.source))))
+    def typed(entity: u.Entity) -> DataFrame:
+        return materialize(entity.typed(staging.read(u.staging_name(entity.source))))
 
-    frames = side_by_side([partial(clean, entity) for entity in u.ENTITIES.values()])
+    frames = side_by_side([partial(typed, entity) for entity in u.ENTITIES.values()])
     return dict(zip(u.ENTITIES, frames))
 
 
-def cleaning_report(staging: TableStore) -> DataFrame:
-    parts = [e.accounting(staging.read(u.staging_name(e.source))) for e in u.ENTITIES.values()]
-    return reduce(DataFrame.unionByName, parts)
+def clean_all(typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The valid rows of every entity, one per key."""
+    steps = [lambda entity=entity, name=name: materialize(entity.pick(typed[name])) for name, entity in u.ENTITIES.items()]
+    return dict(zip(u.ENTITIES, side_by_side(steps)))
+
+
+def cleaning_report(typed: dict[str, DataFrame]) -> DataFrame:
+    """Rows kept, rejected and repeated per entity, counted on the typed rows."""
+    return reduce(DataFrame.unionByName, [entity.counted(typed[name]) for name, entity in u.ENTITIES.items()])
 
 
 def duplicate_report(clean: dict[str, DataFrame], merged: Cascade, exams: DataFrame) -> DataFrame:
@@ -195,7 +201,8 @@ def _load_warehouse(
     staging.discard()
     warehouse.discard()
     seen = staging.version()
-    clean = clean_all(staging)
+    typed = type_all(staging)
+    clean = clean_all(typed)
     merged = resolve_identities(clean["estudiantes"], clean["inscripciones"], clean["examenes"], u.CASCADE)
     staging.replace(STUDENT_MAP, merged.person_map)
     staging.replace(ENROLLMENT_MAP, merged.enrollment_map)
@@ -242,7 +249,7 @@ def _load_warehouse(
     audit.close(run, began, None, max(began, dt.datetime.now()), watermark.OK, 0, version=seen)
 
     reports = [
-        cleaning_report(staging),
+        cleaning_report(typed),
         duplicate_report(clean, merged, raw_exams),
         reference_report(clean),
         table_report(warehouse, clean, merged, enrollments, owned_exams, student_keys, offering_keys),

@@ -192,7 +192,11 @@ class Entity:
         return quality.split_valid(self.typed(raw), self.verdict())[1]
 
     def accounting(self, raw: DataFrame) -> DataFrame:
-        return quality.row_accounting(self.typed(raw, self.judged()), staging_name(self.source), self.verdict(), [self.key])
+        return self.counted(self.typed(raw, self.judged()))
+
+    def counted(self, typed: DataFrame) -> DataFrame:
+        """The accounting of rows that are typed already."""
+        return quality.row_accounting(typed, staging_name(self.source), self.verdict(), [self.key])
 
 
 def _positive(c: Column) -> Column:
