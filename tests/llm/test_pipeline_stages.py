@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from llm.staged import ENGLISH, SPANISH, sentence
+import pyarrow as pa
+from llm.staged import ENGLISH, ODD_TEXTS, SPANISH, WORDS, sentence
 from llm.test_groups import runs
+from tokenizers import Tokenizer
+
+from starloom.llm import language, quality_model
+from starloom.llm.queries import remainder
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WIDE = [a + b for a in ENGLISH for b in ("", "s", "ly", "ing", "ed", "er")]
@@ -70,3 +78,81 @@ def test_mixing_of_repeated_ids(spark, tmp_path):
     copies = {k: mixed[k] / given[k] for k in given}
     spanish = [copies[(i, t)] for i, t, lang in rows if lang == "es"]
     assert all(c == int(c) for c in copies.values()) and max(spanish) - min(spanish) <= 1 and min(spanish) > 1
+
+
+def odd_documents(spark):
+    """Clean documents in four languages between nulls, empty and blank texts, noise, repeated and nameless rows."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [tuple(r) for r in given.collect()]
+    odd = [(9_000 + i, t, None, None, None) for i, t in enumerate(ODD_TEXTS)]
+    noise = [(9_500, "zxqj wkvb pfgh xqzz jjkw vbnm " * 9, None, "web", 1), (9_501, "Привет мир это русский текст", None, "web", 1)]
+    again = [docs[0]] * 4 + [(None, *docs[1][1:])] * 2
+    return spark.createDataFrame(docs + odd + noise + again, given.schema), docs
+
+
+def write_labels(spark, docs, folder):
+    given = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    given.write.parquet(f"{folder}/labels.parquet")
+    return {r.doc_id: r.quality for r in given.collect()}
+
+
+def test_language_stage_against_plain_rules(spark, tmp_path):
+    """What goes: texts without a letter, and those that are no likelier in any language than by chance."""
+    rows, docs = odd_documents(spark)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.language_stage(spark, rows, str(tmp_path)).collect())
+    clean = Counter((i, t) for i, t, *_ in docs if t and len(re.findall(r"[^\W\d_]", t)) >= 20)
+    assert not clean - kept
+    assert kept[(docs[0][0], docs[0][1])] == 5 and kept[(None, docs[1][1])] == 2
+    assert not [1 for i, t in kept if i in (9_500, 9_501) or not any(c.isalpha() for c in t or "")]
+    learned = rows.where(remainder("doc_id", 3) != 1)
+    model = language.fit(learned, "text", "lang", "doc_id")
+    for (i, t), n in Counter((r.doc_id, r.text) for r in rows.collect()).items():
+        found = language.grams(pa.array([t or ""], pa.large_string()))[0].ravel()
+        if len(found):
+            totals = [float(model.table[found, k].astype(float).sum()) for k in range(len(model.labels))]
+            best = max(range(len(totals)), key=lambda k: totals[k] + model.prior[k])
+            evidence = totals[best] / len(found) + language.BITS * math.log(2)
+            if abs(evidence - corpus_pipeline.LEAST_LANGUAGE_EVIDENCE) > 1e-3 and len(t) > 40:
+                assert kept[(i, t)] == (n if evidence > corpus_pipeline.LEAST_LANGUAGE_EVIDENCE else 0)
+
+
+def test_quality_stage_against_plain_scores(spark, tmp_path):
+    rows, docs = odd_documents(spark)
+    labels = write_labels(spark, docs, tmp_path)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, rows, str(tmp_path)).collect())
+    learned = spark.createDataFrame([(i, q) for i, q in labels.items() if zlib.crc32(str(i).encode()) % 5], "doc_id bigint, quality int")
+    model = quality_model.fit(rows, learned, "text", "quality", "doc_id")
+    for (i, t), n in Counter((r.doc_id, r.text) for r in rows.collect()).items():
+        buckets, counts = quality_model.features(pa.array([t or ""], pa.large_string()))
+        margin = model.bias + float(model.weights[buckets].sum()) * quality_model.SCALE / max(1, int(counts[0]))
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
+        if abs(score - quality_model.THRESHOLD) > 1e-4:
+            assert kept[(i, t)] == (n if score > quality_model.THRESHOLD else 0)
+
+
+def test_packing_stage_of_odd_documents(spark, tmp_path):
+    """Every id of every row lies in one piece, in sequences without gaps or overlaps."""
+    rows, _ = odd_documents(spark)
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    expected = Counter()
+    for r in rows.collect():
+        expected[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    held, places = Counter(), defaultdict(list)
+    for p in corpus_pipeline.packing_stage(spark, rows, str(tmp_path)).collect():
+        held[p.doc_id] += p.length
+        places[p.sequence_id].append((p.offset, p.length))
+    assert held == expected
+    for pieces in places.values():
+        ends = [0]
+        for offset, length in sorted(pieces):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], DOCUMENTS)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
