@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 
 from starloom.llm.words import Words, group_sums, ranges, words_of
 
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 WORDS_PER_CALL = 256
 
 # A full stop or comma after a letter or digit is always a token of its own, so
@@ -51,16 +52,22 @@ class WordMemory:
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, ids))
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The codes of words, -1 for those that are not in the memory."""
+        return np.fromiter(map(self.codes.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
     def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         distinct = words.distinct.to_pylist()
-        new = [w for w in distinct if w not in self.codes]
+        own = self._known(distinct)
+        new = np.flatnonzero(own < 0)
         if len(self.codes) + len(new) > MOST_WORDS and self.codes:
             self._clear()
-            new = distinct
-        if new:
-            self._learn(new)
-        own = np.fromiter(map(self.codes.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            new = np.arange(len(distinct))
+        if len(new):
+            unknown = [distinct[i] for i in new.tolist()] if len(new) < len(distinct) else distinct
+            self._learn(unknown)
+            own[new] = self._known(unknown)
         starts, lengths = self.starts[own][words.codes], self.lengths[own][words.codes]
         return self.flat[ranges(starts, lengths)], group_sums(lengths, words.counts)
 
