@@ -24,7 +24,7 @@ _GROUP = 10_000
 
 
 class ConflictingWriter(RuntimeError):
-    """Another writer has published a version since this one read the state."""
+    """Another writer has published a table since this one read the state."""
 
 
 @dataclass
@@ -118,9 +118,10 @@ class TableStore:
 
         A table that was replaced since then is new as a whole.
         """
-        published = self._published()[1].get(table, [])
         self._folders(table)
-        return self._open(table, [f for f in published if version is None or _version_of(f) > version])
+        published = self._published()[1].get(table, [])
+        old = set() if version is None else set(self._folders_at(table, version))
+        return self._open(table, [f for f in published if f not in old])
 
     def parts_of(self, table: str, df: DataFrame) -> list[int]:
         """The parts that rows of a frame belong to; it has to have the columns that decide it."""
@@ -201,24 +202,32 @@ class TableStore:
     def publish(self, label: str | None = None) -> int:
         """Make everything written so far visible; returns the version.
 
-        Each version is one file that can be created once: of two writers that started from the
-        same version the second is refused with ``ConflictingWriter``, and its changes are dropped.
+        Each version is one file that can be created once. If another writer has created it, this
+        one goes on with the next version, unless both wrote to one table: then it is refused
+        with ``ConflictingWriter``, and its changes are dropped.
         """
-        version = self._published()[0]
-        if self._pending:
-            version += 1
-            tops = self._published()[2] | self._tops
-            rows = [(version, table, folders, label, tops.get(table)) for table, folders in self._pending.items()]
-            try:
-                self._create_version(version, self.spark.createDataFrame(rows, _PUBLISHED_SCHEMA))
-            except BaseException:
-                self.discard()
-                raise
-        self.discard()
-        return version
+        try:
+            return self._publish(label) if self._pending else self._published()[0]
+        finally:
+            self.discard()
 
-    def _create_version(self, version: int, log: DataFrame) -> None:
-        """Write the log of a version aside and give it its name, which fails if the name is taken."""
+    def _publish(self, label: str | None) -> int:
+        base = self._published()
+        tops = base[2] | self._tops
+        version = base[0] + 1
+        while True:
+            rows = [(version, table, folders, label, tops.get(table)) for table, folders in self._pending.items()]
+            if self._create_version(version, self.spark.createDataFrame(rows, _PUBLISHED_SCHEMA)):
+                return version
+            self._state = None
+            latest = self._published()
+            both = [table for table in self._pending if latest[1].get(table) != base[1].get(table)]
+            if both:
+                raise ConflictingWriter(f"{', '.join(both)} of {self.root} was published by another writer")
+            version = latest[0] + 1
+
+    def _create_version(self, version: int, log: DataFrame) -> bool:
+        """Write the log of a version aside and give it its name; False if the name is taken."""
         context = self.spark.sparkContext
         hadoop, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
         aside = hadoop.Path(f"{self.root}/{_ASIDE}/{uuid.uuid4().hex}")
@@ -231,10 +240,11 @@ class TableStore:
         try:
             # Renaming without the option to overwrite is one step that only one of two writers can make.
             hadoop.FileContext.getFileContext(target.toUri(), conf).rename(written, target, plain)
+            return True
         except Py4JJavaError as error:
-            if "FileAlreadyExistsException" in str(error.java_exception):
-                raise ConflictingWriter(f"version {version} of {self.root} was published by another writer") from error
-            raise
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            return False
         finally:
             files.delete(aside, True)
 
@@ -289,10 +299,6 @@ def bucket(column: str, buckets: int) -> str:
     return f"pmod(xxhash64({column}), {buckets})"
 
 
-def _version_of(folder: str) -> int:
-    return int(re.search(r"/v=(\d+)-\d+", folder)[1])
-
-
 def _part_of(folder: str) -> int | None:
     found = re.search(rf"/{_PART}=(-?\d+)$", folder)
     return int(found[1]) if found else None

@@ -254,16 +254,19 @@ def test_of_two_writers_the_second_is_refused(spark, tmp_path):
         return TableStore(spark, str(tmp_path / "s"), {"t": "k int", "u": "k int"})
 
     rows = spark.createDataFrame([(1,)], "k int")
-    first, second = store(), store()
+    first, second, third = store(), store(), store()
     first.append("t", rows)
-    second.append("u", rows)
+    second.append("t", rows)
+    third.append("u", rows)
     assert first.publish() == 1
-    with pytest.raises(ConflictingWriter, match="version 1"):
+    with pytest.raises(ConflictingWriter, match="^t of"):
         second.publish()
     # Its changes are dropped, and it goes on from the state of the other one.
-    assert second.publish() == 1 and second.read("t").count() == 1 and second.read("u").count() == 0
-    second.append("u", rows)
-    assert second.publish() == 2
+    assert second.publish() == 1 and second.read("t").count() == 1
+    # A writer of another table is not in the way, and its rows are new after the version before it.
+    assert third.publish() == 2
+    reader = store()
+    assert reader.read_since("u", 1).count() == 1 and reader.read_since("u", 2).count() == reader.read_since("t", 1).count() == 0
     with pytest.raises(ConflictingWriter), first.transaction():
         first.append("t", rows)
         other = store()
