@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.staged import ODD_TEXTS, WORDS, frame
-from starloom.llm import neighbours, token_counts
-from starloom.llm.queries import QUERIES, table
+from llm.test_search_and_turns import plain_trie, trie_rows
+from starloom.llm import neighbours, prefix_trie, token_counts
+from starloom.llm.queries import QUERIES, rebuilt_turns, table
 from starloom.session import new_folder
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -109,3 +111,37 @@ def test_token_counts_of_no_documents(spark, tmp_path):
     path = new_folder(spark)
     assert token_counts.flatten(spark.read.parquet(str(tmp_path / "rows")), WORDS, path).count() == 0
     assert token_counts.count(spark, path).count() == 0
+
+
+def test_trie_of_given_conversations(spark):
+    """Rebuilt conversations with plain lists, among them one without turns of its own place and missing bases."""
+    own = {}
+    for r in table(spark, FOLDER, "conversations").collect():
+        own.setdefault(r.conv_id, []).append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
+    own = {c: [(role, text) for _, _, role, text in sorted(turns)] for c, turns in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = own.get(c - c % 20, [])[:h] + turns[h:]
+    found = [
+        (r.depth, r.conv_id, r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256)
+        for r in QUERIES["op13_prefix_trie"](spark, FOLDER).collect()
+    ]
+    assert sorted(found, key=repr) == plain_trie(rebuilt)
+
+
+def test_rebuilt_conversations(spark):
+    """Fewer turns than are taken over, an absent base, turns without a number, and conversations without an id."""
+    rows = [(20, None, "user", "a"), (20, 1, None, "b"), (20, 2, "user", None)] + [(c, 0, "user", str(c)) for c in range(21, 45)]
+    rows += [(c, t, "assistant", f"{c} {t}") for c in range(21, 45, 3) for t in range(1, 6)] + [(None, 0, "user", "x")]
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(role, text) for _, _, role, text in sorted(turns)] for c, turns in own.items()}
+    expected = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        expected[c] = own.get(c - c % 20, [])[:h] + turns[h:]
+    given = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert trie_rows(prefix_trie.build(*rebuilt_turns(given))) == plain_trie(expected)
